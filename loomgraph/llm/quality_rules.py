@@ -27,7 +27,6 @@ MIN_GROUP = 100
 #: The fences are broadcast up to so many groups (five doubles each); beyond it the join is salted.
 BROADCAST_GROUPS = 20_000
 SALTS = 32
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,9 +43,9 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_t", WORD_SPLIT, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length("_t") - F.length(F.translate("_t", _UPPER, ""))).cast("long").alias("n_upper"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.size(F.split("_t", "[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"),
+        (F.size(F.split("_t", "[A-Z]")) - 1).cast("long").alias("n_upper"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         "_h",
