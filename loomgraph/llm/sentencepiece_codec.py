@@ -12,6 +12,7 @@ are ignored; repeated rows each get their row. Texts of any length are coded who
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import struct
@@ -26,8 +27,8 @@ from loomgraph.llm.common import table
 
 SPACE = "▁"
 #: Units cached per worker; beyond it the cache starts afresh (a speed matter only).
-CACHE_UNITS = 400_000
-BATCH_ROWS = 500
+CACHE_UNITS = 600_000
+BATCH_ROWS = 1000
 
 
 class CharMap:
@@ -223,43 +224,45 @@ class Codec:
         return (text.replace(" ", SPACE) if self.escape else text), begin, end
 
     def learn(self, units) -> None:
-        """Put the units that the cache lacks into it: (ids, the ids as text)."""
+        """Put the units that the cache lacks into it, as packed ids."""
         cache = self.cache
         if len(cache) >= CACHE_UNITS:
             cache.clear()
         new = list({u for u in units if u not in cache})
+        gc.disable()  # millions of fresh ints and lists, none in a cycle
         coded = self.merger.encode(new, num_threads=1) if self.merger else [self.merge(u)[0] for u in new]
+        gc.enable()
+        flat = np.fromiter(chain.from_iterable(coded), np.int32).tobytes()
+        at = 0
         for u, ids in zip(new, coded):
-            cache[u] = (ids, ",".join(map(str, ids)))
+            cache[u] = flat[at : (at := at + 4 * len(ids))]
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """ids, and the begin and end of each piece in the source's UTF-8 bytes."""
         norm, begin, end = self.normalise(text)
         units = self.unit.findall(norm)
         self.learn(units)
-        ids, _, begins, ends = self.assemble(text, norm, units, begin, end)
-        return ids, begins, ends
+        ids, begins, ends = self.assemble(text, norm, units, begin, end)
+        return ids.tolist(), begins, ends
 
     def assemble(self, text, norm, units, begin, end):
-        """Pieces of units that the cache holds: ids, the ids as text, begins and ends in source bytes."""
-        cache = self.cache
-        found = [cache[u] for u in units]
-        ids = list(chain.from_iterable([h[0] for h in found]))
+        """Pieces of units that the cache holds: ids, begins and ends in source bytes."""
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, units)), np.int32)
         if self.byte_id:
-            lens = self.width[np.array(ids, np.int32)] if ids else np.zeros(0, np.int64)
+            lens = self.width[ids]
         else:
             lens = np.array([n for u in units for n in self._source_lengths(u, self.merge(u)[1])], np.int64)
         ends = np.cumsum(lens)
         begins = ends - lens
-        if self.dummy and ids:
+        if self.dummy and len(ids):
             ends, begins = np.maximum(ends - 1, 0), np.maximum(begins - 1, 0)
         if self.escape and SPACE in text:
             self.literal = text
             begins, ends = self._literal_marks(norm, units)
-        if begin is not None and ids:
+        if begin is not None and len(ids):
             b, e = np.array([*begin, begin[-1] + 1 if begin else 0]), np.array([0, *accumulate(end, max)])
             begins, ends = b[np.minimum(begins, len(b) - 1)], e[np.minimum(ends, len(e) - 1)]
-        return ids, ",".join([h[1] for h in found]), begins, ends
+        return ids, begins, ends
 
     def encode_all(self, texts: list[str]) -> list[tuple]:
         """``assemble`` for many texts; the merges of all their new units are one call."""
@@ -308,19 +311,21 @@ def coder(model_path: str, digests: bool = False):
 
     def run(batches):
         codec = Codec(model_path)
+        decimal = [str(i) for i in range(len(codec.out))]
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(lo, BATCH_ROWS)
                 ids, begins, ends, sizes, decoded, hashes = [], [], [], [0], [], []
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, said, b, e in codec.encode_all(texts):
+                for i, b, e in codec.encode_all(texts):
+                    numbers = i.tolist()
                     sizes.append(sizes[-1] + len(i))
-                    decoded.append(codec.decode(i))
+                    decoded.append(codec.decode(numbers))
                     if digests:
                         spans = hashlib.sha256(b.tobytes() + e.tobytes())
-                        hashes.append([h.hexdigest() for h in (hashlib.sha256(said.encode()), hashlib.sha256(decoded[-1].encode()), spans)])
+                        hashes.append([h.hexdigest() for h in (hashlib.sha256(",".join([decimal[x] for x in numbers]).encode()), hashlib.sha256(decoded[-1].encode()), spans)])
                     else:
-                        ids.append(np.array(i, np.int32))
+                        ids.append(i)
                         begins.append(b)
                         ends.append(e)
                 if digests:
