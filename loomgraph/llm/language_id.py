@@ -41,7 +41,7 @@ _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
 _CLEAN[0x41:0x5B] = np.arange(0x61, 0x7B)
 _CLEAN[0x80:] = np.arange(0x80, 256)
 _LETTER = re.compile(r"[^\W\d_]")
-_MARKS = re.compile("[\u0080-¿×÷ -⯿　-〿]+")
+_MARKS = re.compile("[\u0080-\u00bf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f]+")
 
 
 def slices(texts: list[str]):
