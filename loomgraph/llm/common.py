@@ -64,7 +64,7 @@ def id_filter(ids: DataFrame, col: str) -> np.ndarray:
 
     It thins a large side before an exact semi join; once it saturates, the join does all the work.
     """
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << FILTER_BITS))
+    h = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << FILTER_BITS)) + 1  # bitmap positions start at 1
     rows = (
         ids.select(h.alias("h"))
         .groupBy(F.bitmap_bucket_number("h").alias("b"))
