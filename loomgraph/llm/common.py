@@ -107,3 +107,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             drop(both)
             return lab
+
+
+def split_by_filter(df: DataFrame, ids: DataFrame, key: str, inside: bool) -> DataFrame:
+    """Rows of ``df`` that the id filter of ``ids`` (a column named as ``key``) lets pass, or surely not in ``ids``."""
+    import pyarrow as pa
+
+    bits = df.sparkSession.sparkContext.broadcast(id_filter(ids, key))
+    n = len(bits.value) * 8
+
+    def run(batches):
+        for b in batches:
+            h = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            hit = (bits.value[h >> 3] >> (h & 7)) & 1 == 1
+            yield b.filter(pa.array(hit if inside else ~hit)).select(list(range(b.num_columns - 1)))
+
+    return df.withColumn("_h", F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(n))).mapInArrow(run, df.schema)
+
+
+def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``; most others never reach the join's shuffle."""
+    return split_by_filter(df, ids, key, True).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; only rows that may be in it are shuffled."""
+    cols = df.columns
+    maybe = split_by_filter(df, ids, key, True).join(ids.select(key).distinct(), key, "left_anti").select(*cols)
+    return split_by_filter(df, ids, key, False).union(maybe)
