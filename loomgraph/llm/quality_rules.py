@@ -117,6 +117,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     stats = materialise(text_stats(d, "_text").drop("_text"), "stats")
     m = with_metrics(stats)
     lim = materialise(fences(m), "fences")
+    return verdict(m, lim, salt)
+
+
+def verdict(m: DataFrame, lim: DataFrame, salt: str) -> DataFrame:
+    """``m`` with kept: inside the fences of its group, and not failed by the base rule."""
     if lim.count() <= BROADCAST_GROUPS:
         j = m.join(F.broadcast(lim), ["_lang", "_source"], "left")
     else:
@@ -129,6 +134,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
+def keep_rows(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", salt: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are kept. Statistics are computed in the row a second time, so that no text is shuffled."""
+    cols = docs.columns
+    names = {"_k": F.col(salt), "_text": F.col(text), "_lang": F.coalesce(F.col(lang).cast("string"), F.lit("\x00")), "_source": F.coalesce(F.col(source).cast("string"), F.lit("\x00"))}
+    d = docs.select(F.struct(*cols).alias("_row"), *[c.alias(k) for k, c in names.items()])
+    lim = materialise(fences(with_metrics(text_stats(d.drop("_row"), "_text").drop("_text", "_k"))), "fences")
+    return verdict(with_metrics(text_stats(d, "_text").drop("_text")), lim, "_k").where("kept").select("_row.*")
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
