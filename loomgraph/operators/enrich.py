@@ -56,12 +56,12 @@ def best_match(concepts: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def apply(concepts: DataFrame, matches: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Concepts with casing fixed, descriptions filled, labels joined to the aliases, and confidence raised by .1 where the match is sure."""
-    m = matches.join(snapshot.select("ext_id", F.col("description").alias("d"), F.col("confidence").alias("c")), "ext_id").select("id", "ext_id", "label", "d", "c")
+    m = matches.join(snapshot.select("ext_id", F.col("description").alias("d"), F.col("confidence").alias("c")), "ext_id").select("id", F.col("ext_id").alias("match_id"), "label", "d", "c")
     j = concepts.join(m, "id", "left")
     return j.select(
         "id", N.fix_casing(F.col("name")).alias("name"), F.coalesce(F.nullif(F.col("description"), F.lit("")), "d").alias("description"),
         F.array_sort(F.array_union("aliases", F.array_compact(F.array("label")))).alias("aliases"),
-        F.when(F.col("c") > 0.5, F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")).alias("confidence"), "ext_id",
+        F.when(F.col("c") > 0.5, F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")).alias("confidence"), F.col("match_id").alias("ext_id"),
     )
 
 

@@ -41,7 +41,10 @@ def equations(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def lexicon_concepts(df: DataFrame, text: str, lexicon: dict, *keep: str) -> DataFrame:
     """(keep, type, name, n): every hit of the lexicon's patterns, name in lower case with underscores."""
-    every = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda x, k=k: F.struct(F.lit(k).alias("type"), F.replace(F.lower(x), F.lit(" "), F.lit("_")).alias("name"))) for k, p in lexicon.items()]))
+    def typed(k: str):
+        return lambda x: F.struct(F.lit(k).alias("type"), F.replace(F.lower(x), F.lit(" "), F.lit("_")).alias("name"))
+
+    every = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), 1), typed(k)) for k, p in lexicon.items()]))
     return df.select(*keep, F.explode(every).alias("c")).groupBy(*keep, "c.type", "c.name").agg(F.count("*").alias("n"))
 
 

@@ -48,7 +48,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     front = seen
     for h in range(1, depth + 1):
         step = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id")).distinct()
-        front = step.join(seen, ["root", "id"], "left_anti").withColumn("hop", F.lit(h))
+        front = cut(step.join(seen, ["root", "id"], "left_anti").withColumn("hop", F.lit(h)))  # else the plan doubles a step
         seen = seen.unionByName(front)
     return seen
 
@@ -81,7 +81,7 @@ def shortest_path(edges: DataFrame, a, b, limit: int = 5) -> DataFrame:
     seen = front
     for h in range(1, limit + 1):
         step = front.join(und.withColumnRenamed("src", "id"), "id").groupBy("dst").agg(F.min(F.concat_ws(">", "path", F.col("dst").cast("string"))).alias("path"))
-        front = step.select(F.col("dst").alias("id"), "path", F.lit(h).alias("hops")).join(seen, "id", "left_anti")
+        front = cut(step.select(F.col("dst").alias("id"), "path", F.lit(h).alias("hops")).join(seen, "id", "left_anti"))
         seen = seen.unionByName(front)
     return seen.where(F.col("id") == F.lit(b).cast(kind)).select("hops", "path")
 

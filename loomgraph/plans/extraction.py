@@ -107,7 +107,7 @@ SELECT src, dst, type, n, {TOTAL} AS total, CASE WHEN {TOTAL} >= 0.9 THEN 'very_
     "relation_dedup": (lambda s, d: frame(s, REL).groupBy(F.lower("src").alias("src"), F.lower("dst").alias("dst"), "type").agg(F.max("confidence").alias("confidence"), F.max_by("seq", F.struct("confidence", -F.col("seq"))).alias("seq")), f"SELECT lower(src) AS src, lower(dst) AS dst, type, max(confidence) AS confidence, arg_min(seq, (-confidence, seq)) AS seq FROM {REL} GROUP BY 1, 2, 3"),
     "math_blocks": (lambda s, d: blocks(s, d).select("doc_id", "line", "start", "score", "grp", F.length(F.coalesce("before", F.lit(""))).alias("n_before"), F.length(F.coalesce("after", F.lit(""))).alias("n_after")), f"SELECT doc_id, line, start, {LINE} AS score, {GROUP} AS grp, CAST(length(coalesce(before, '')) AS INT) AS n_before, CAST(length(coalesce(after, '')) AS INT) AS n_after FROM (SELECT *, lag(body) OVER (PARTITION BY doc_id ORDER BY line) AS before, lead(body) OVER (PARTITION BY doc_id ORDER BY line) AS after FROM {LINES}) WHERE {LINE} >= 3"),
     "char_offsets": (lambda s, d: X.lines(table(s, d, "documents"), "text", "doc_id").select("doc_id", "line", "start"), f"SELECT doc_id, line, start FROM {LINES}"),
-    "line_pairs": (lambda s, d: X.line_pairs(table(s, d, "documents"), "text", "doc_id").select("doc_id", "line"), f"SELECT doc_id, line FROM (SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM {LINES}) WHERE length(body) < 50 AND length(nxt) < 50 AND regexp_matches(body, '[=+-]') AND regexp_matches(nxt, '[xyrR()]')"),
+    "line_pairs": (lambda s, d: X.line_pairs(e(s).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "body"))), lambda x: x["body"]), "\n").alias("text"), F.lit(1).alias("doc_id")), "text", "doc_id").select("doc_id", "line"), f"SELECT doc_id, line FROM (SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM (SELECT 1 AS doc_id, CAST(id - 1 AS INT) AS line, body FROM {EXPR})) WHERE length(body) < 50 AND length(nxt) < 50 AND regexp_matches(body, '[=+-]') AND regexp_matches(nxt, '[xyrR()]')"),
     "block_links": (lambda s, d: X.block_links(e(s).select(F.lit(1).alias("doc_id"), F.col("id").alias("block"), "body", M.semantic_group(F.col("body")).alias("grp"))), f"WITH u AS (SELECT id, unnest({VARS}) AS k FROM {EXPR} UNION ALL SELECT id, concat('#', g) FROM (SELECT id, {GROUP} AS g FROM {EXPR}) WHERE g <> 'general_math') SELECT DISTINCT 1 AS doc_id, x.id AS a, y.id AS b FROM u x JOIN u y ON x.k = y.k AND x.id < y.id"),
     "domain_class": (lambda s, d: frame(s, CLS).select("id", M.domain(F.col("body")).alias("domain")), f"SELECT id, CASE WHEN greatest({', '.join(DOMAIN.values())}) = 0 THEN 'finance' " + " ".join(f"WHEN {v} = greatest({', '.join(DOMAIN.values())}) THEN '{k}'" for k, v in DOMAIN.items()) + f" END AS domain FROM {CLS}"),
     "domain_class_documents": (lambda s, d: table(s, d, "documents").select("doc_id", M.domain(F.col("text"), TESTLEX, "none").alias("domain")), f"SELECT doc_id, CASE WHEN greatest({', '.join(TL.values())}) = 0 THEN 'none' " + " ".join(f"WHEN {v} = greatest({', '.join(TL.values())}) THEN '{k}'" for k, v in TL.items()) + " END AS domain FROM documents"),

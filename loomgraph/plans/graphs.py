@@ -42,7 +42,7 @@ QUERIES = {
     "merge_edges": (lambda s, d: G.upsert(frame(s, SMALL).dropDuplicates(["src", "dst", "type"]), frame(s, SMALL).where("type = 'mentions'").withColumn("confidence", F.lit(1.0)), ("src", "type", "dst")), f"SELECT src, dst, type, CASE WHEN type = 'mentions' THEN 1.0::DOUBLE ELSE confidence END AS confidence FROM {SMALL}"),
     "hierarchy_depth3": (lambda s, d: G.hierarchy(edges(s, d), root(s, "n3"), 3), f"SELECT root, id, hop, 'ancestor' AS side FROM ({side(G.UP, True)}) UNION ALL SELECT root, id, hop, 'descendant' FROM ({side(G.DOWN, False)})"),
     "k_hop": (lambda s, d: G.k_hop(edges(s, d), root(s, "r2"), 2), REACH.format(v="r2", e=UND, k=2) + "SELECT root, id, min(hop) AS hop FROM r GROUP BY root, id"),
-    "shortest_path": (lambda s, d: G.shortest_path(edges(s, d), "s1", "s7"), f"WITH RECURSIVE p(id, path, hops) AS (SELECT 's1', 's1', 0 UNION ALL SELECT e.dst, concat(p.path, '>', e.dst), p.hops + 1 FROM p JOIN {UND} e ON p.id = e.src WHERE p.hops < 5 AND NOT contains(concat('>', p.path, '>'), concat('>', e.dst, '>')) AND p.id <> 's7') SELECT hops, min(path) AS path FROM p WHERE id = 's7' GROUP BY hops ORDER BY hops LIMIT 1"),
+    "shortest_path": (lambda s, d: G.shortest_path(edges(s, d), "n1", "n6"), f"WITH RECURSIVE p(id, path, hops) AS (SELECT 'n1', 'n1', 0 UNION ALL SELECT e.dst, concat(p.path, '>', e.dst), p.hops + 1 FROM p JOIN {UND} e ON p.id = e.src WHERE p.hops < 5 AND NOT contains(concat('>', p.path, '>'), concat('>', e.dst, '>')) AND p.id <> 'n6') SELECT hops, min(path) AS path FROM p WHERE id = 'n6' GROUP BY hops ORDER BY hops LIMIT 1"),
     "degree_centrality": (lambda s, d: G.centrality(edges(s, d)), f"SELECT id, degree, round(degree / ((SELECT count(*) FROM {DEG.format(e=EDGES_SQL)}) - 1.0), 6)::DOUBLE AS centrality FROM {DEG.format(e=EDGES_SQL)} ORDER BY degree DESC, id LIMIT 10"),
     "graph_metrics": (lambda s, d: G.metrics(frame(s, SMALL)), f"SELECT n, m, round(2.0 * m / n, 6)::DOUBLE AS avg_degree, round(m::DOUBLE / (n * (n - 1)), 9)::DOUBLE AS density, round(c, 6)::DOUBLE AS avg_confidence, weak FROM (SELECT count(*) AS n FROM {DEG.format(e=SMALL)}), (SELECT count(*) AS m, avg(c) AS c FROM (SELECT max(confidence) AS c FROM {SMALL} GROUP BY src, dst)), (SELECT count(DISTINCT component) AS weak FROM ({COMP.format(e=SMALL)}))"),
     "components": (lambda s, d: G.components(frame(s, SMALL)), COMP.format(e=SMALL)),

@@ -50,7 +50,10 @@ def meta(c: Column, name: str) -> Column:
 
 def headings(df: DataFrame, html: str, *keep: str) -> DataFrame:
     """(keep, level, n, text): the headings of each level in order."""
-    levels = [F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<h{i}[^>]*>(.*?)</h{i}>"), 1), lambda x, i=i: F.struct(F.lit(i).alias("level"), x.alias("text"))) for i in range(1, 7)]
+    def at(i: int):
+        return lambda x: F.struct(F.lit(i).alias("level"), x.alias("text"))
+
+    levels = [F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<h{i}[^>]*>(.*?)</h{i}>"), 1), at(i)) for i in range(1, 7)]
     d = df.select(*keep, F.posexplode(F.flatten(F.array(*levels))).alias("n", "h"))
     return d.select(*keep, "h.level", "n", unescape(F.trim(sub(F.col("h.text"), "<[^>]+>", ""))).alias("text"))
 

@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def micros(ts: str = "ts"):
+    """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+
+
 def debounce(events: DataFrame, seconds: float, key: str = "key", seq: str = "event_id") -> DataFrame:
     """Events accepted when at least ``seconds`` have passed since the last accepted one of the key.
 
@@ -19,8 +24,7 @@ def debounce(events: DataFrame, seconds: float, key: str = "key", seq: str = "ev
     bounds a fold by a burst and not by a key.
     """
     w = Window.partitionBy(key).orderBy("t", seq)
-    t = F.unix_micros("ts")
-    d = events.withColumn("t", t).withColumn("burst", F.sum(F.when(F.col("t") - F.lag("t").over(w) < int(seconds * 1e6), 0).otherwise(1)).over(w))
+    d = events.withColumn("t", micros()).withColumn("burst", F.sum(F.when(F.col("t") - F.lag("t").over(w) < int(seconds * 1e6), 0).otherwise(1)).over(w))
     g = d.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct("t", seq))).alias("es"))
     kept = F.expr(
         f"aggregate(es, named_struct('last', cast(null as bigint), 'out', cast(array() as array<bigint>)), (a, e) -> "
@@ -88,7 +92,7 @@ def stream_debounce(events: DataFrame, seconds: float, key: str = "key", seq: st
             state.update((last,))
         yield pd.DataFrame(out, columns=["key", "event_id"])
 
-    d = events.withWatermark("ts", "10 seconds").select(F.col(key).cast("string").alias("key"), F.col(seq).alias(seq), F.unix_micros("ts").alias("t"))
+    d = events.withColumn("t", micros()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 seconds").select(F.col(key).cast("string").alias("key"), F.col(seq).alias(seq), "t")
     return d.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint", "last bigint", "append", "NoTimeout")
 
 
@@ -116,18 +120,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _point(spark: SparkSession, target: str, version: str) -> None:
-    fs, p, jvm = _fs(spark, f"{target}/_current.tmp")
+    fs, p, jvm = _fs(spark, f"{target}/CURRENT.tmp")
     out = fs.create(p, True)
     out.writeBytes(version)
     out.close()
-    to = jvm.org.apache.hadoop.fs.Path(f"{target}/_current")
+    to = jvm.org.apache.hadoop.fs.Path(f"{target}/CURRENT")
     fs.delete(to, False)
     fs.rename(p, to)
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    fs, p, _ = _fs(spark, f"{target}/_current")
+    fs, p, _ = _fs(spark, f"{target}/CURRENT")
     if not fs.exists(p):
         return None
-    version = spark.read.text(f"{target}/_current").first()[0]
+    version = spark.read.text(f"{target}/CURRENT").first()[0]
     return spark.read.parquet(f"{target}/{version}")
