@@ -187,7 +187,13 @@ def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -
     groups = combos.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
     held = materialise(combos.join(groups, "c"), "held")
     stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialise(_verify(stars.union(rare).distinct(), sets, num, den), "links")
+    # One star pair a text first; the others only where they still join two components.
+    least = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = materialise(_verify(least.union(rare).distinct(), sets, num, den), "links")
+    comp = components(first)
+    at = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
+    apart = stars.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    first = materialise(first.union(_verify(apart, sets, num, den)), "links")
     comp = components(first)
     placed = held.select("c", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = materialise(placed, "placed")
