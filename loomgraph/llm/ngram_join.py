@@ -11,7 +11,8 @@ share a token in their prefixes of n - ceil(t n) + 1 tokens (15 % of a set at t
 * A combination's holders are compared with the smallest holder first; once components are known,
   only pairs across components are still compared, so large groups of copies stay linear.
 
-Every candidate is verified on whole sets. Texts of equal word sequence are one vertex from the start.
+Candidates whose parity signatures differ in more bits than similar sets can differ in tokens go, which
+is exact; the others are verified on whole sets. Texts of equal word sequence are one vertex from the start.
 
 Defined cases: null text counts as empty; a text without words has no shingle, its own id as its
 component and no link; repeated rows each get their row; an id with several texts is one vertex;
@@ -28,13 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, id_filter, materialise, table
+from loomgraph.llm.common import components, materialise, split_by_filter, table
 
 RARE = 12
 #: Tokens of a combination, for sets of at least LONG tokens and for those below SHORT (the two overlap by 1 / t).
 K_LONG, K_SHORT = 5, 2
 LONG, SHORT = 24, 30
 CACHE_WORDS = 500_000
+#: Bits of a set's parity signature, in WIDE columns of 64.
+BITS = 512
+WIDE = BITS // 64
+MARKS = [f"m{i}" for i in range(WIDE)]
 
 
 class _Hashes(dict):
@@ -70,11 +75,17 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _sketch(k: int, num: int, den: int, kind: str):
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, each the parity of the tokens dealt to it: two sets differ in at least as many tokens as their bits do."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketch(k: int, num: int, den: int):
     def run(batches):
         cache = _Hashes()
         for b in batches:
-            keys, sizes, flat, off = [], [], [], [0]
+            keys, sizes, whole, prefix, bits = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 ws = words(t)
                 if len(cache) > CACHE_WORDS:
@@ -82,12 +93,19 @@ def _sketch(k: int, num: int, den: int, kind: str):
                 s = shingle_set(ws, k, cache)
                 keys.append(hashlib.blake2b(b"\n".join(ws), digest_size=16).digest() if ws else None)
                 sizes.append(len(s))
-                part = s[: prefix_length(len(s), num, den)] if kind == "prefix" else s
-                flat.append(part)
-                off.append(off[-1] + len(part))
-            tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-            arr = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), arr], names=["id", "key", "n", "tokens"])
+                whole.append(s)
+                prefix.append(s[: prefix_length(len(s), num, den)])
+                bits.append(parity_bits(s))
+            lists = []
+            for parts in (prefix, whole):
+                off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                lists.append(pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))))
+            m = np.array(bits, np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *lists, *[pa.array(m[:, i].copy()) for i in range(WIDE)]],
+                names=["id", "key", "n", "prefix", "tokens", *MARKS],
+            )
 
     return run
 
@@ -136,21 +154,43 @@ def _sizes_fit(num: int, den: int):
     return F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
 
 
+def _marks_fit(num: int, den: int):
+    """Similar sets differ in at most (na + nb) (1 - t) / (1 + t) tokens, and their signatures in no more bits."""
+    d = " + ".join(f"bit_count(a{m} ^ b{m})" for m in MARKS)
+    return F.expr(f"({num} + {den}) * ({d}) <= ({den} - {num}) * (na + nb)")
+
+
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *[F.col(m).alias(side + m) for m in MARKS])
+
+
+def _plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs whose sizes and signatures allow similarity; nothing similar is lost."""
+    return pairs.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_sizes_fit(num, den)).where(_marks_fit(num, den)).select("a", "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar."""
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").where(_sizes_fit(num, den)).where(_similar(num, den)).select("a", "b")
+    """(a, b) of the pairs whose sets are similar; most sets of no pair never reach the joins' shuffles."""
+    pairs = materialise(pairs, "pairs")
+    need = split_by_filter(sets.select("id", "n", "tokens"), pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id", True)
+    one = need.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = need.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").where(_similar(num, den)).select("a", "b")
 
 
 def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
     """(key, n_shingles, class_id, component_id) of every row; links are 100 * |x & y| >= 100 * num / den * |x | y|."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = f"id {kind}, key binary, n bigint, tokens array<bigint>"
-    all_ = materialise(docs.mapInArrow(_sketch(shingle, num, den, "prefix"), schema), "prefixes")
-    reps = materialise(all_.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("tokens").alias("tokens")), "reps")
-    tok = reps.select("id", "n", F.explode("tokens").alias("c"))
+    schema = f"id {kind}, key binary, n bigint, prefix array<bigint>, tokens array<bigint>, " + ", ".join(f"{m} bigint" for m in MARKS)
+    all_ = materialise(docs.mapInArrow(_sketch(shingle, num, den), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
+    # One row per word sequence stands for its copies; an id with several sequences is linked with each of them below.
+    reps = materialise(all_.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("r")).select("key", F.col("r.id").alias("owner"), F.col("r.row").alias("row")), "reps")
+    mine = reps.select("row")
+    # From here on a vertex is a row number.
+    sets = all_.where("n > 0").drop("id", "key", "prefix").join(mine, "row", "left_semi").withColumnRenamed("row", "id")
+    marks = sets.select("id", "n", *MARKS)
+    tok = all_.where("n > 0").select("row", "n", "prefix").join(mine, "row", "left_semi").select(F.col("row").alias("id"), "n", F.explode("prefix").alias("c"))
     shared = materialise(tok.join(tok.groupBy("c").agg(F.count("*").alias("m")).where("m > 1"), "c"), "shared")
     rare = (
         shared.where(F.col("m") <= RARE)
@@ -162,51 +202,41 @@ def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -
         .select("a", "b")
         .distinct()
     )
-    rare = materialise(rare, "pairs")
-    often = shared.where(F.col("m") > RARE).select("id").distinct()
-    live = materialise(often.withColumn("often", F.lit(True)).union(rare.select(F.col("a"), F.lit(False))).union(rare.select(F.col("b"), F.lit(False))).groupBy("id").agg(F.max("often").alias("often")), "live")
-    bits = df.sparkSession.sparkContext.broadcast(id_filter(live, "id"))
-    slot = F.pmod(F.xxhash64("id"), F.lit(len(bits.value) * 8))
-
-    def thin(batches):
-        for b in batches:
-            h = b.column(2).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((bits.value[h >> 3] >> (h & 7)) & 1 == 1))
-
-    near = docs.withColumn("h", slot).mapInArrow(thin, f"id {kind}, text string, h bigint").select("id", "text")
-    sets = near.join(live, "id").select("id", "text").mapInArrow(_sketch(shingle, num, den, "whole"), schema)
-    sets = materialise(sets.groupBy("id").agg(F.min_by(F.struct("n", "tokens"), "key").alias("s")).select("id", "s.n", "s.tokens").join(live, "id"), "sets")
 
     # Texts with frequent prefix tokens: enough of the extended prefix must be held by others.
-    q = sets.where("often").select("id", "n", "tokens")
-    ext = q.mapInArrow(_combos(num, den, "extended"), f"c bigint, id {kind}, n bigint")
+    often = shared.where(F.col("m") > RARE).select("id").distinct()
+    q = sets.select("id", "n", "tokens").join(often, "id", "left_semi")
+    ext = q.mapInArrow(_combos(num, den, "extended"), "c bigint, id bigint, n bigint")
     held = ext.join(ext.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c"), "c").groupBy("id", "n").agg(F.count("*").alias("f"))
     p = F.expr(f"n - cast(ceil({num} * n / {den}) as bigint) + 1")
     q = q.join(held.where(F.col("f") >= F.floor(2 * F.lit(num / den) * p) - 3).select("id"), "id")
-    combos = materialise(q.mapInArrow(_combos(num, den, "combinations"), f"c bigint, id {kind}, n bigint"), "combos")
+    combos = materialise(q.mapInArrow(_combos(num, den, "combinations"), "c bigint, id bigint, n bigint").select("c", "id"), "combos")
     groups = combos.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
-    held = materialise(combos.join(groups, "c"), "held")
+    held = materialise(combos.join(groups, "c").select("c", "id", "lead"), "held")
     stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     # One star pair a text first; the others only where they still join two components.
     least = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = materialise(_verify(least.union(rare).distinct(), sets, num, den), "links")
+    first = materialise(_verify(_plausible(least.union(rare).distinct(), marks, num, den), sets, num, den), "links")
     comp = components(first)
     at = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
     apart = stars.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    first = materialise(first.union(_verify(apart, sets, num, den)), "links")
+    first = materialise(first.union(_verify(_plausible(apart, marks, num, den), sets, num, den)), "links")
     comp = components(first)
-    placed = held.select("c", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = held.select("c", "id").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = materialise(placed, "placed")
     mixed = placed.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c")
-    open_ = materialise(placed.join(mixed, "c"), "open")
-    x = open_.select("c", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select("c", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "c").where("ca < cb").where(_sizes_fit(num, den)).select("a", "b").distinct()
-    links = first.union(_verify(cross, sets, num, den))
-    comp = components(links)
-    rep = reps.select("key", F.col("id").alias("rep")).join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("comp"))
+    open_ = materialise(placed.join(mixed, "c").join(marks, "id"), "open")
+    x = open_.select("c", F.col("comp").alias("ca"), *[F.col(v).alias(w) for v, w in zip(("id", "n", *MARKS), ("a", "na", *["a" + m for m in MARKS]))])
+    y = open_.select("c", F.col("comp").alias("cb"), *[F.col(v).alias(w) for v, w in zip(("id", "n", *MARKS), ("b", "nb", *["b" + m for m in MARKS]))])
+    cross = x.join(y, "c").where("ca < cb").where(_sizes_fit(num, den)).where(_marks_fit(num, den)).select("a", "b").distinct()
+    same = reps.groupBy("owner").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z").select("owner", "a")
+    same = reps.join(same, "owner").where("row <> a").select("a", F.col("row").alias("b"))
+    comp = components(first.union(_verify(cross, sets, num, den)).union(same))
+    placed = reps.join(comp.withColumnRenamed("v", "row"), "row", "left").select("key", "owner", F.coalesce("comp", "row").alias("comp"))
+    least_id = placed.groupBy("comp").agg(F.min("owner").alias("component"))
+    rep = placed.join(least_id, "comp").select("key", F.col("owner").alias("class_id"), "component")
     return all_.select("id", "key", "n").join(rep, "key", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("comp", "id").alias("component_id")
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id")
     )
 
 
