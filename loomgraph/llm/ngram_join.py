@@ -188,7 +188,7 @@ def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -
     reps = materialise(all_.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("r")).select("key", F.col("r.id").alias("owner"), F.col("r.row").alias("row")), "reps")
     mine = reps.select("row")
     # From here on a vertex is a row number.
-    sets = all_.where("n > 0").drop("id", "key", "prefix").join(mine, "row", "left_semi").withColumnRenamed("row", "id")
+    sets = all_.where("n > 0").drop("id", "key", "prefix").withColumnRenamed("row", "id")
     marks = sets.select("id", "n", *MARKS)
     tok = all_.where("n > 0").select("row", "n", "prefix").join(mine, "row", "left_semi").select(F.col("row").alias("id"), "n", F.explode("prefix").alias("c"))
     shared = materialise(tok.join(tok.groupBy("c").agg(F.count("*").alias("m")).where("m > 1"), "c"), "shared")
@@ -204,12 +204,14 @@ def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -
     )
 
     # Texts with frequent prefix tokens: enough of the extended prefix must be held by others.
-    often = shared.where(F.col("m") > RARE).select("id").distinct()
-    q = sets.select("id", "n", "tokens").join(often, "id", "left_semi")
+    # (A few more texts may pass the id filters; they only add candidates.)
+    often = materialise(shared.where(F.col("m") > RARE).select("id").distinct(), "often")
+    q = split_by_filter(sets.select("id", "n", "tokens"), often, "id", True)
     ext = q.mapInArrow(_combos(num, den, "extended"), "c bigint, id bigint, n bigint")
     held = ext.join(ext.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c"), "c").groupBy("id", "n").agg(F.count("*").alias("f"))
     p = F.expr(f"n - cast(ceil({num} * n / {den}) as bigint) + 1")
-    q = q.join(held.where(F.col("f") >= F.floor(2 * F.lit(num / den) * p) - 3).select("id"), "id")
+    held = materialise(held.where(F.col("f") >= F.floor(2 * F.lit(num / den) * p) - 3).select("id"), "often")
+    q = split_by_filter(q, held, "id", True)
     combos = materialise(q.mapInArrow(_combos(num, den, "combinations"), "c bigint, id bigint, n bigint").select("c", "id"), "combos")
     groups = combos.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
     held = materialise(combos.join(groups, "c").select("c", "id", "lead"), "held")
