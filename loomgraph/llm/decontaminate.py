@@ -46,16 +46,30 @@ def window_size(n: int) -> int:
     return w
 
 
-def running_bits(h: np.ndarray) -> np.ndarray:
-    """Sums of the 64 bits of word hashes before each position (they wrap; differences do not matter to that)."""
-    s = np.zeros((len(h) + 1, 64), np.int16)
-    np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int16, out=s[1:])
+def lane(w: int):
+    """Type of a bit's counter: wide enough for a window of w words."""
+    return np.uint8 if w < 1 << 8 else np.uint16 if w < 1 << 16 else np.uint32
+
+
+def running_bits(h: np.ndarray, kind) -> np.ndarray:
+    """Sums of the 64 bits of word hashes before each position, several counters to a 64-bit number; carries between counters cancel in differences."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(kind, copy=False).view(np.uint64)
+    s = np.zeros((len(h) + 1, bits.shape[1]), np.uint64)
+    np.cumsum(bits, axis=0, out=s[1:])
     return s
 
 
 def simhash(s: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
-    c = s[starts + w] - s[starts]
-    return np.packbits(2 * c.astype(np.int32) > w if w > 16000 else 2 * c > w, axis=1).view(np.uint64).ravel()
+    return _majority(s[starts + w] - s[starts], w)
+
+
+def _majority(c: np.ndarray, w: int) -> np.ndarray:
+    return np.packbits(c.view(lane(w)) > w // 2, axis=1).view(np.uint64).ravel()
+
+
+def simhash_every(s: np.ndarray, w: int, stride: int) -> np.ndarray:
+    """``simhash`` at every ``stride``-th start, from slices."""
+    return _majority(s[w::stride] - s[: len(s) - w : stride], w)
 
 
 def hash_words(ws: list[bytes], cache: dict) -> np.ndarray:
@@ -89,7 +103,7 @@ class Index:
             # Consecutive starts at both ends: whatever the stride's phase, one of each lot is met.
             last = len(h) - w
             starts = sorted({*range(min(STRIDE, last + 1)), *range(max(0, last - STRIDE + 1), last + 1)})
-            fp = simhash(running_bits(h), np.array(starts), w)
+            fp = simhash(running_bits(h, lane(w)), np.array(starts), w)
             by.setdefault(w, []).extend((int(f), j, o) for f, o in zip(fp, starts))
         every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
         self.known, df = np.unique(every, return_counts=True)
@@ -152,16 +166,17 @@ class Index:
         end = np.cumsum(size)
         if not len(flat):
             return []
-        s = running_bits(flat)
+        sums = {kind: running_bits(flat, kind) for kind in {lane(w) for w in self.tables}}
         text_of = np.repeat(np.arange(len(size)), size)
         best: dict[tuple[int, int], tuple] = {}
         tried = set()
         for w in self.tables:
             starts = np.arange(0, len(flat) - w + 1, self.stride[w])
-            starts = starts[starts + w <= end[text_of[starts]]] if len(starts) else starts
             if not len(starts):
                 continue
-            at, item, offset = self.near(w, simhash(s, starts, w))
+            inside = np.flatnonzero(starts + w <= end[text_of[starts]])
+            at, item, offset = self.near(w, simhash_every(sums[lane(w)], w, self.stride[w])[inside])
+            starts = starts[inside]
             for t, j, o in zip(starts[at].tolist(), item.tolist(), offset.tolist()):
                 k = int(text_of[t])
                 lo0, hi0 = int(end[k] - size[k]), int(end[k])
