@@ -89,6 +89,14 @@ def gram_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((((codes >> np.uint32(8)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(to: np.ndarray):
+    """(bucket, positions in order) of the buckets in use; one sort, however many buckets there are."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    for at in np.split(order, cuts) if len(to) else ():
+        yield int(to[at[0]]), at
+
+
 def block_grams(texts: list) -> np.ndarray:
     parts = [np.unique(grams(texts[lo:hi])[0]) for lo, hi in sliced(texts)]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
@@ -115,10 +123,8 @@ def asking(buckets: int):
         asked = block_grams(texts)
         n = np.zeros(len(asked), np.int64)
         n[np.searchsorted(asked, keys)] = counts
-        to = gram_bucket(asked, buckets)
-        for k in range(buckets):
-            if len(at := np.flatnonzero(to == k)):
-                rows.append(("g", k, block, asked[at].tobytes(), n[at].tobytes(), None, None))
+        for k, at in by_bucket(gram_bucket(asked, buckets)):
+            rows.append(("g", k, block, asked[at].tobytes(), n[at].tobytes(), None, None))
         low, m = add_up(keys & np.uint32(0xFFFFFF), counts)
         rows += [("t", None, block, None, None, int(a), int(b)) for a, b in zip(low, m)]
         cols = list(zip(*rows)) if rows else [[]] * 7
@@ -256,11 +262,9 @@ def scoring(buckets: int, n_all: int, v_all: int):
             c = np.concatenate(counts)
             log, known = np.log10(c + 0.5), c > 0
             asked = block_grams(texts)
-            to = gram_bucket(asked, buckets)
             prob = np.zeros(len(asked), np.float64)
-            for k in range(buckets):
-                if len(at := np.flatnonzero(to == k)):
-                    prob[at] = np.frombuffer(answer["g", k], np.float32)
+            for k, at in by_bucket(gram_bucket(asked, buckets)):
+                prob[at] = np.frombuffer(answer["g", k], np.float32)
             find = Lookup(asked)
             unit = math.log10(n_all + 0.5 * (v_all + 1))
             for lo, hi in sliced(texts):
