@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialise, split_by_filter, table
+from loomgraph.llm.common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 _SP = r"\x20\x09-\x0D"
@@ -172,26 +172,22 @@ def find(df: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
     )
     base = F.expr("transform(base, b -> named_struct('o', b.o, 'kind', b.kind, 's', b.s, 'e', b.e))")
     found = found.withColumn("base", base).drop("cands")
-    if text not in carry:
-        joined = found.join(new, "_row", "left")
-        return joined.select(*carry, "base", F.array_sort(F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", "new"))).alias("spans"))
-    # Rows carry their texts here: only rows that may have a discovered span meet the join.
-    new = materialise(new, "discovered")
-    sure = split_by_filter(found, new, "_row", False).select(*carry, "base", F.array_sort("base").alias("spans"))
-    rest = split_by_filter(found, new, "_row", True).join(new, "_row", "left")
-    return sure.union(rest.select(*carry, "base", F.array_sort(F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", "new")))))
+    # Written, so that its size is known: the join broadcasts it while that is small, and sorts both sides beyond.
+    joined = found.join(materialise(new, "discovered"), "_row", "left")
+    return joined.select(*carry, "base", F.array_sort(F.when(F.col("new").isNull(), F.col("base")).otherwise(F.concat("base", "new"))).alias("spans"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of its texts replaced by the kind in brackets; overlapping spans go by the first."""
-    cols = df.columns
-    found = find(df, text, tuple(cols))
+    # The row travels as one struct, so that none of its columns can clash with ours.
+    found = find(df.select(F.struct("*").alias("_doc")), f"_doc.`{text}`", ("_doc",))
+    t = f"_doc.`{text}`"
     cut = f"""aggregate(array_sort(transform(spans, x -> struct(x.s, x.e, x.kind))), named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> case when x.s < a.at then named_struct('at', greatest(a.at, x.e), 'out', a.out)
-            else named_struct('at', x.e, 'out', concat(a.out, array(substr(`{text}`, a.at + 1, x.s - a.at), concat('[', upper(x.kind), ']')))) end,
-        a -> concat(array_join(a.out, ''), substr(`{text}`, a.at + 1)))"""
-    new = F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col(text))
-    return found.select(*[new.alias(c) if c == text else F.col(c) for c in cols])
+            else named_struct('at', x.e, 'out', concat(a.out, array(substr({t}, a.at + 1, x.s - a.at), concat('[', upper(x.kind), ']')))) end,
+        a -> concat(array_join(a.out, ''), substr({t}, a.at + 1)))"""
+    new = F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col(t))
+    return found.select(*[new.alias(c) if c == text else F.col(f"_doc.`{c}`").alias(c) for c in df.columns])
 
 
 def said(spans: str):

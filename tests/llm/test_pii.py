@@ -57,3 +57,11 @@ def test_confident_context_discovers_unseen_identifiers(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert pii.op3_pii(spark, str(tmp_path)).count() == 0
+
+
+def test_redact_keeps_columns_whose_names_are_ours(spark):
+    rows = [(1, "write to joe@ab.com now", "x", "y", 1), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string, new string, _row long")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "write to [EMAIL] now", "x", "y", 1), (2, None, None, None, None)]
