@@ -140,7 +140,9 @@ def keep_rows(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     names = {"_k": F.col(salt), "_text": F.col(text), "_lang": F.coalesce(F.col(lang).cast("string"), F.lit("\x00")), "_source": F.coalesce(F.col(source).cast("string"), F.lit("\x00"))}
     d = docs.select(F.struct(*cols).alias("_row"), *[c.alias(k) for k, c in names.items()])
     lim = materialise(fences(with_metrics(text_stats(d.drop("_row"), "_text").drop("_text", "_k"))), "fences")
-    return verdict(with_metrics(text_stats(d, "_text").drop("_text")), lim, "_k").where("kept").select("_row.*")
+    # The row number holds the filter above the statistics: pushed into them it would repeat their expressions without end.
+    stats = text_stats(d, "_text").drop("_text").withColumn("_at", F.monotonically_increasing_id())
+    return verdict(with_metrics(stats), lim, "_k").where("kept and _at >= 0").select("_row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
