@@ -125,11 +125,12 @@ def _combos(num: int, den: int, kind: str):
                 else:
                     out = []
                     for k, use in ((K_SHORT, n < SHORT), (K_LONG, n >= LONG)):
-                        if not use or n < k:
+                        if not use:
                             continue
+                        k = min(k, n)  # fewer tokens are one combination together
                         # Unshared tokens: b_x of ours and b_y of theirs; b_x + (k - 1)(b_x + b_y + 1) + 1 must fit in the prefix.
                         o = t / (1 + t)
-                        need = n if k == K_SHORT else min(n, int((k * (1 - o) - (k - 1) * o - (k * o - (k - 1) * (1 - o)) * t) * n) + k + 4)
+                        need = n if k <= K_SHORT else min(n, int((k * (1 - o) - (k - 1) * o - (k * o - (k - 1) * (1 - o)) * t) * n) + k + 4)
                         p = s[:need]
                         c = np.full(len(p) - k + 1, k, np.uint64)
                         for j in range(k):

@@ -63,6 +63,15 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, rare):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("rare", [12, 1])
+def test_sets_of_one_frequent_shingle(spark, tmp_path, monkeypatch, rare):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    rows = [(n, " ".join(["la"] * (n + 4))) for n in range(15)] + [(20 + n, " ".join(["la"] * (n + 1))) for n in range(3)] + [(30, "la la la x"), (31, "la la la la x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in ngram_join.op4_ngram_join(spark, str(tmp_path)).collect())
+    assert got == brute(rows) and {c for i, _, c in got if i < 15} == {0}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, n long").write.parquet(f"{tmp_path}/documents.parquet")
     assert ngram_join.op4_ngram_join(spark, str(tmp_path)).count() == 0
