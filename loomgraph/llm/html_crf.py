@@ -6,7 +6,8 @@ pages by gradient ascent and decoded by Viterbi. The labelled pages come from ``
 layouts drawn by rule with the label of each block known.
 
 Defined cases: null or empty html gives '' ; a page without content blocks gives ''; unclosed tags,
-comments and quotes end with the page; repeated rows each get their row; extra columns are ignored.
+comments and quotes end with the page, and so do script, style, textarea, title and iframe, while other
+dropped elements without an end tag (or closed by "/>") lose their tag alone; repeated rows each get their row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from loomgraph.llm.common import table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SHUT = re.compile(r"(?:\A|[\s\"']|(?:\A|\s)[^\s=\"']+)/\Z")  # "/>", not the end of a value without quotes
 # HTML's own lists of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("script style template svg iframe object noscript textarea select title head math canvas audio video".split())
-RAW = frozenset("script style textarea title iframe noscript template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics annotation".split())
+DROPPED = frozenset("script style template svg iframe textarea title canvas audio video".split())
+#: Without an end tag, these go on to the page's end; of these, only iframe is closed by "/>".
+RAW = frozenset("script style textarea title iframe".split())
 IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 TAGS = "article main section div p li ul ol h1 h2 h3 h4 h5 h6 a nav header footer aside form button blockquote pre table td figure figcaption dl body address".split()
@@ -112,10 +115,10 @@ def blocks_of(page: str) -> list[tuple[str, tuple, int]]:
                 stack.append((name, _hints(attrs)))
             continue
         flush()
-        if name in DROPPED and name != "head":
-            if name in RAW or name in DROPPED:
+        if name in DROPPED:
+            if name in RAW - {"iframe"} or not _SHUT.search(attrs):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if name in RAW else at
             continue
         if name in VOID:
             continue

@@ -43,3 +43,15 @@ def test_main_text():
     assert html_crf.main_text(None, crf)[0] == html_crf.main_text("<!-- x", crf)[0] == ""
     page = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A &amp; B</h1><p>Some  <b>bo</b>ld text of the page.<p>More of it.</article><footer>&copy; x</footer>"
     assert html_crf.main_text(page, crf)[0] == "A & B Some bold text of the page. More of it."
+
+
+def test_elements_without_an_end_tag_do_not_swallow_the_page():
+    text = lambda page: [b[0] for b in html_crf.blocks_of(page)]
+    for tag in ("<svg width=1 />", "<svg/>", "<math/>", '<iframe src="/x"/>', "<object data=x>", "<canvas>", "<select>", "<video muted/>", "<svg>"):
+        assert text(f"<p>One.</p>{tag}<p>Two.</p>") == ["One.", "Two."], tag
+    assert text("<p>One.</p><svg/><p>Two.</p><svg><path/>no</svg><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert text("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>") == ["So x=1 holds."]
+    assert text("<p>One.</p><noscript><p>Two.</p></noscript><object>Three.</object>") == ["One.", "Two.", "Three."]
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert text(f"<p>One.</p><{tag}>no<p>no") == ["One."]
+        assert text(f"<p>One.</p><{tag} a=/x/>no</{tag}><p>Two.</p>") == ["One.", "Two."]
