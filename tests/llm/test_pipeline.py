@@ -38,3 +38,17 @@ def test_every_decision_takes_effect(spark, tmp_path):
     last = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     codec = sentencepiece_codec.Codec(sentencepiece_codec.model_path())
     assert {i: r.n_tokens for i, r in last.items()} == {i: len(codec.encode(t)[0]) for i, t in seen["PII"].items()}
+
+
+def test_repeated_and_missing_ids_leave_one_document_of_a_group(spark, tmp_path):
+    r = random.Random(5)
+    say = lambda: " ".join("".join(r.choice("aeioubcdfg") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a + " more"), (2, a), (3, b), (3, c), (4, c), (None, d), (None, d), (None, e), (5, e), (10, d[:0]), (10, None), (20, b + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted((str(x.doc_id), x.text or "") for x in out.collect())
+    firsts = [x for x in got if x[0] == "1"]
+    assert len(firsts) == 1 and firsts[0][1].startswith(a)
+    assert [x for x in got if x[0] != "1"] == sorted([("3", b), ("3", c), ("None", d), ("5", e), ("10", ""), ("10", "")])
