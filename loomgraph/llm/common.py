@@ -24,20 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is configured (tests)."""
+    """The shared folder of the session; a folder of our own only where none is configured and all tasks run in this process (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+#: Rows of an Arrow batch while tables are written: whole texts of a few thousand characters stay within some MB.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str = "t", rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and stops recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(int(before), rows)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.loomgraph_path = path
     return out
 
@@ -110,19 +123,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def split_by_filter(df: DataFrame, ids: DataFrame, key: str, inside: bool) -> DataFrame:
-    """Rows of ``df`` that the id filter of ``ids`` (a column named as ``key``) lets pass, or surely not in ``ids``."""
+    """Rows of ``df`` that the id filter of ``ids`` (a column named as ``key``) lets pass, or surely not in ``ids``.
+
+    A row travels as one struct, so no column can clash with ours.
+    """
     import pyarrow as pa
+    from pyspark.sql.types import StructField, StructType
 
     bits = df.sparkSession.sparkContext.broadcast(id_filter(ids, key))
     n = len(bits.value) * 8
 
     def run(batches):
         for b in batches:
-            h = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            h = b.column(1).to_numpy(zero_copy_only=False)
             hit = (bits.value[h >> 3] >> (h & 7)) & 1 == 1
-            yield b.filter(pa.array(hit if inside else ~hit)).select(list(range(b.num_columns - 1)))
+            yield b.filter(pa.array(hit if inside else ~hit)).select([0])
 
-    return df.withColumn("_h", F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(n))).mapInArrow(run, df.schema)
+    d = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.pmod(F.coalesce(F.xxhash64(F.col(f"`{key}`")), F.lit(0)), F.lit(n)).alias("h"))
+    return d.mapInArrow(run, StructType([StructField("r", df.schema, False)])).select("r.*")
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -132,6 +150,5 @@ def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ids``; only rows that may be in it are shuffled."""
-    cols = df.columns
-    maybe = split_by_filter(df, ids, key, True).join(ids.select(key).distinct(), key, "left_anti").select(*cols)
+    maybe = split_by_filter(df, ids, key, True).join(ids.select(key).distinct(), key, "left_anti").select(*df.columns)
     return split_by_filter(df, ids, key, False).union(maybe)

@@ -1,27 +1,32 @@
 """Jaccard self-join of texts on word shingles by token-combination prefixes, and its components.
 
-A token is a shingle's 64-bit hash; hash order is the global order. Two sets of Jaccard at least t
-share a token in their prefixes of n - ceil(t n) + 1 tokens (15 % of a set at t = 0.85).
-
-* Rare prefix tokens (held by at most ``RARE`` texts) are indexed singly: their holders are paired.
-* Texts with a frequent prefix token are indexed by k-token combinations: k tokens that follow each
-  other in an extended prefix. Few enough tokens differ between similar sets that some run of k
-  shared tokens must be free of them; the extension makes that hold inside the prefix. Before, a
-  text must show that enough of its extended prefix is held by another such text at all.
-* A combination's holders are compared with the smallest holder first; once components are known,
-  only pairs across components are still compared, so large groups of copies stay linear.
-
-Candidates whose parity signatures differ in more bits than similar sets can differ in tokens go, which
-is exact; the others are verified on whole sets. Texts of equal word sequence are one vertex from the start.
+A token is a shingle's 64-bit hash; a vertex is a distinct token set. The global order puts tokens
+that are frequent in some task's rows last and follows the hash within both classes. Two sets of
+Jaccard at least t share a token of their prefixes of n - ceil(t n) + 1 tokens, whatever the order.
+
+* Rare prefix tokens (held by at most ``RARE`` sets) are indexed singly.
+* Sets with a frequent prefix token, and a pair that shares only such tokens consists of two of them,
+  are indexed by token combinations: the hash line is cut into cells, as many as two similar sets can
+  differ in tokens and one more, and a combination is all tokens of one cell. Each differing token
+  spoils one cell at most, so similar sets agree in one of the first cells: the prefix extended to
+  these is enough. A combination of few tokens is extended by the cells of a second and third deal.
+* A key's holders are compared with one lead first (the holder with most shared keys for its size);
+  once components are known, only holders of different components are still compared.
+
+Candidates whose parity signatures differ in more bits than similar sets can differ in tokens go,
+which is exact; the others are verified on whole sets, made again from the texts.
 
 Defined cases: null text counts as empty; a text without words has no shingle, its own id as its
-component and no link; repeated rows each get their row; an id with several texts is one vertex;
-an empty table gives an empty result; extra columns are ignored.
+component and no link; equal sets are one vertex (so ties and repeated rows need no comparison) and
+repeated rows each get their row; an id with several texts joins their components; a null id gets a
+row and is the component of last resort; texts of any length are compared whole; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +34,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, materialise, split_by_filter, table
+from loomgraph.llm.common import components, drop, id_filter, materialise, split_by_filter, table
 
 RARE = 12
-#: Tokens of a combination, for sets of at least LONG tokens and for those below SHORT (the two overlap by 1 / t).
-K_LONG, K_SHORT = 5, 2
-LONG, SHORT = 24, 30
 CACHE_WORDS = 500_000
 #: Bits of a set's parity signature, in WIDE columns of 64.
 BITS = 512
 WIDE = BITS // 64
 MARKS = [f"m{i}" for i in range(WIDE)]
+#: Tokens held by so many texts of one task are put last in the global order, at most ORDERED of them.
+#: The order decides which keys are made, never which pairs are found.
+LOCAL = 4
+ORDERED = 1 << 18
+#: Holders of a key are compared across components in blocks of about so many.
+BLOCK = 256
+OUT_ROWS = 1 << 16
+#: Pairs of texts in one Arrow batch.
+PAIR_ROWS = 200
 
 
 class _Hashes(dict):
@@ -81,74 +92,160 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sketch(k: int, num: int, den: int):
+def most_apart(m: int, num: int, den: int) -> int:
+    """Tokens that a set of m and a similar one of at most m can differ in."""
+    return 2 * m * (den - num) // (den + num)
+
+
+def ladder(least: int) -> int:
+    """The number of cells in use for at least so many: 1, 2, 3, 4, 6, 8, 11, 16, ..."""
+    g, i = 1, 0
+    while g < least:
+        i += 1
+        g = int(2 ** (i / 2) + 0.5)
+    return g
+
+
+@lru_cache(maxsize=100_000)
+def grids(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
+    """(cells of the whole line, first cells in use) under which a set of n is indexed: one for every size of a larger similar set.
+
+    Sets of n and m >= n meet in the cells for ``most_apart(m)``, which both have in use. Empty: only equal sets are similar.
+    """
+    low, high = most_apart(n, num, den), most_apart(den * n // num, num, den)
+    out, g = [], ladder(max(low, 1) + 1)
+    while high and (not out or out[-1][0] < high + 1):
+        out.append((g, min(g, high + 1)))
+        g = ladder(g + 1)
+    return tuple(out)
+
+
+def cells(s: np.ndarray, g: int, use: int, level: int, path) -> list[int]:
+    """Keys of the first ``use`` of g cells; combinations of few tokens are extended by another deal of the line."""
+    line = s if not level else _mix(s ^ np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
+    at = ((line >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
+    if level:
+        order = np.argsort(at, kind="stable")
+        at, line = at[order], line[order]
+    cut = np.searchsorted(at, np.arange(use + 1))
+    run = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(_mix(line), out=run[1:])
+    size = np.diff(cut).astype(np.uint64)
+    key = _mix((run[cut[1:]] - run[cut[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(use).astype(np.uint64) + (size << np.uint64(32)) + np.uint64(path))
+    if level == 2:
+        return key.tolist()
+    weak = size < 2 if g > 4 or level > (g < 3) else np.ones(use, bool)
+    out = key[~weak].tolist()
+    for k in key[weak]:
+        out += cells(s, g, use, level + 1, k)
+    return out
+
+
+def combinations(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of the token combinations of a whole set."""
+    out: list[int] = []
+    for g, use in grids(len(s), num, den):
+        out += cells(s, g, use, 0, g)
+    return np.unique(np.array(out, np.uint64))
+
+
+def vertex(s: np.ndarray) -> int | None:
+    """Name of a set by its content: 64 bits, so that rows of equal sets need no exchange to agree on it."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
+def _sets(texts: pa.Array, k: int, cache: dict):
+    for t in texts.to_pylist():
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        yield shingle_set(words(t), k, cache)
+
+
+def _chunks(rows: list[tuple[int, np.ndarray]]):
+    """Batches (c, v) of the keys of each vertex."""
+    lo = 0
+    while lo < len(rows):
+        hi, size = lo, 0
+        while hi < len(rows) and size < OUT_ROWS:
+            size += len(rows[hi][1])
+            hi += 1
+        c = np.concatenate([r[1] for r in rows[lo:hi]]).view(np.int64)
+        v = np.repeat(np.array([r[0] for r in rows[lo:hi]], np.int64), [len(r[1]) for r in rows[lo:hi]])
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(v)], names=["c", "v"])
+        lo = hi
+
+
+def _sketch(k: int):
+    """Of (h, text, id): rows (id, h, v, n, signature) of the texts, and (tok, seen) of tokens that are frequent in the task."""
+    names = ["id", "h", "v", "n", *MARKS, "tok", "seen"]
+
     def run(batches):
-        cache = _Hashes()
+        cache, seen, often, kinds = _Hashes(), np.zeros(1 << 22, np.uint16), np.zeros(0, np.uint64), None
         for b in batches:
-            keys, sizes, whole, prefix, bits = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                ws = words(t)
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                s = shingle_set(ws, k, cache)
-                keys.append(hashlib.blake2b(b"\n".join(ws), digest_size=16).digest() if ws else None)
-                sizes.append(len(s))
-                whole.append(s)
-                prefix.append(s[: prefix_length(len(s), num, den)])
+            kinds = [b.column(2).type, b.column(0).type]
+            vs, ns, bits, hot = [], [], [], [often]
+            for s in _sets(b.column(1), k, cache):
+                vs.append(vertex(s))
+                ns.append(len(s))
                 bits.append(parity_bits(s))
-            lists = []
-            for parts in (prefix, whole):
-                off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                lists.append(pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))))
-            m = np.array(bits, np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *lists, *[pa.array(m[:, i].copy()) for i in range(WIDE)]],
-                names=["id", "key", "n", "prefix", "tokens", *MARKS],
-            )
+                at = (s & np.uint64(len(seen) - 1)).astype(np.int64)
+                c = seen[at]
+                seen[at] = c + (c < 65535)
+                hot.append(s[c >= LOCAL - 1])
+            often = np.unique(np.concatenate(hot))
+            mark = np.array(bits, np.int64).reshape(-1, WIDE)
+            none = [pa.nulls(b.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(vs, pa.int64()), pa.array(ns, pa.int64()), *[pa.array(mark[:, i].copy()) for i in range(WIDE)], *none], names=names)
+        for lo in range(0, len(often), OUT_ROWS):
+            t = often[lo : lo + OUT_ROWS]
+            n = seen[(t & np.uint64(len(seen) - 1)).astype(np.int64)].astype(np.int64)
+            none = [pa.nulls(len(t), kind) for kind in (*kinds, *[pa.int64()] * (2 + WIDE))]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(t.view(np.int64)), pa.array(n)], names=names)
 
     return run
 
 
-def _combos(num: int, den: int, kind: str):
-    """Rows (c, id, n): the tokens of the extended prefix, or its combinations."""
-    t = num / den
+def _keys(k: int, num: int, den: int, last):
+    """Of (h, text): rows (c, v) of the prefix tokens of each set, or of its combinations where ``last`` is None."""
 
     def run(batches):
+        cache, done = _Hashes(), set()
         for b in batches:
-            ids, ns = b.column(0), b.column(1).to_pylist()
-            rep, keys = [], []
-            for i, (n, tokens) in enumerate(zip(ns, b.column(2))):
-                s = np.asarray(tokens.values).view(np.uint64)
-                if kind == "extended":
-                    out = [s[: 3 * prefix_length(n, num, den)]]
-                else:
-                    out = []
-                    for k, use in ((K_SHORT, n < SHORT), (K_LONG, n >= LONG)):
-                        if not use:
-                            continue
-                        k = min(k, n)  # fewer tokens are one combination together
-                        # Unshared tokens: b_x of ours and b_y of theirs; b_x + (k - 1)(b_x + b_y + 1) + 1 must fit in the prefix.
-                        o = t / (1 + t)
-                        need = n if k <= K_SHORT else min(n, int((k * (1 - o) - (k - 1) * o - (k * o - (k - 1) * (1 - o)) * t) * n) + k + 4)
-                        p = s[:need]
-                        c = np.full(len(p) - k + 1, k, np.uint64)
-                        for j in range(k):
-                            c = _mix(c * np.uint64(0x9E3779B97F4A7C15) + p[j : len(p) - k + 1 + j])
-                        out.append(c)
-                for o_ in out:
-                    keys.append(o_)
-                    rep.append(np.full(len(o_), i, np.int64))
-            at = pa.array(np.concatenate(rep) if rep else np.zeros(0, np.int64))
-            c = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), ids.take(at), b.column(1).take(at)], names=["c", "id", "n"])
+            rows = []
+            for s in _sets(b.column(1), k, cache):
+                if not grids(len(s), num, den) or (v := vertex(s)) in done:
+                    continue
+                done.add(v)
+                if last is None:
+                    rows.append((v, combinations(s, num, den)))
+                    continue
+                f = last.value
+                late = f[np.minimum(np.searchsorted(f, s), len(f) - 1)] == s if len(f) else np.zeros(len(s), bool)
+                rows.append((v, np.concatenate([s[~late], s[late]])[: prefix_length(len(s), num, den)]))
+            yield from _chunks(rows)
 
     return run
 
 
-def _similar(num: int, den: int):
-    i = "size(array_intersect(ta, tb))"
-    return F.expr(f"{den} * {i} >= {num} * (na + nb - {i})")
+def _similar(k: int, num: int, den: int):
+    """Rows (a, b, ta, tb) in order of a to the (a, b) whose sets are similar."""
+
+    def run(batches):
+        cache, last, one = _Hashes(), None, None
+        for b in batches:
+            ok = []
+            a = b.column(0).to_pylist()
+            for i in range(b.num_rows):
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                if a[i] != last:
+                    last, one = a[i], shingle_set(words(b.column(2)[i].as_py()), k, cache)
+                two = shingle_set(words(b.column(3)[i].as_py()), k, cache)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok.append(den * both >= num * (len(one) + len(two) - both))
+            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    return run
 
 
 def _sizes_fit(num: int, den: int):
@@ -162,86 +259,168 @@ def _marks_fit(num: int, den: int):
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *[F.col(m).alias(side + m) for m in MARKS])
-
-
-def _plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs whose sizes and signatures allow similarity; nothing similar is lost."""
-    return pairs.join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_sizes_fit(num, den)).where(_marks_fit(num, den)).select("a", "b")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar; most sets of no pair never reach the joins' shuffles."""
-    pairs = materialise(pairs, "pairs")
-    need = split_by_filter(sets.select("id", "n", "tokens"), pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id", True)
-    one = need.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = need.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").where(_similar(num, den)).select("a", "b")
+    return df.select(F.col("v").alias(side), F.col("n").alias(f"n{side}"), *[F.col(m).alias(side + m) for m in MARKS])
+
+
+def handle(key: str, text: str):
+    """A row's handle: equal for repeated rows only, and the same in every scan of the table."""
+    name = F.to_json(F.struct(F.col(key).alias("i")))
+    return F.unhex(F.md5(F.concat(name, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+class Join:
+    """The steps of one self-join; ``all`` has a row (id, handle h, v, n) for every row of the input."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, shingle: int, num: int, den: int):
+        self.k, self.num, self.den, self.temps = shingle, num, den, []
+        h = handle(key, text)
+        self.docs = df.select(h.alias("h"), F.col(text).alias("text"), F.col(key).alias("id"))
+        schema = f"id {df.schema[key].dataType.simpleString()}, h binary, v bigint, n bigint, {', '.join(f'{m} bigint' for m in MARKS)}, tok bigint, seen bigint"
+        self.made = materialise(self.docs.mapInArrow(_sketch(shingle), schema), "sets")
+        self.all = self.made.where("tok is null").select("id", "h", "v", "n")
+        # One row stands for the rows of a set.
+        rep = F.min(F.struct("h", *MARKS)).alias("r")
+        self.reps = self._keep(self.made.where("tok is null and n > 0").groupBy("v", "n").agg(rep).select("v", "n", "r.*"), "reps")
+        self.marks = self.reps.drop("h")
+
+    def _keep(self, df: DataFrame, name: str, **how) -> DataFrame:
+        self.temps.append(materialise(df, name, **how))
+        return self.temps[-1]
+
+    def close(self) -> None:
+        """Delete the tables of the steps; ``made`` stays."""
+        for t in self.temps:
+            drop(t)
+        self.temps = []
+
+    def _scan(self, handles: DataFrame, function, schema: str) -> DataFrame:
+        """``function`` over the batches (h, text) of the rows whose handle the id filter lets pass."""
+        bits = self.docs.sparkSession.sparkContext.broadcast(id_filter(handles, "h"))
+
+        def run(batches):
+            def wanted():
+                for b in batches:
+                    h = b.column(2).to_numpy(zero_copy_only=False)
+                    b = b.filter(pa.array((bits.value[h >> 3] >> (h & 7)) & 1 == 1))
+                    if b.num_rows:
+                        yield b.select([0, 1])
+
+            yield from function(wanted())
+
+        return self.docs.select("h", "text", F.pmod(F.xxhash64("h"), F.lit(len(bits.value) * 8))).mapInArrow(run, schema)
+
+    def _late(self):
+        """Tokens that come last in the global order, sorted: the most frequent ones by powers of two, at most ORDERED."""
+        tok = self._keep(self.made.where("tok is not null").groupBy("tok").agg(F.sum("seen").alias("seen")).where(F.col("seen") > RARE), "often")
+        power = F.floor(F.log2("seen")).cast("int")
+        least, total = 64, 0
+        for r in sorted(tok.groupBy(power.alias("p")).agg(F.count("*").alias("m")).collect(), reverse=True):
+            total += r["m"]
+            if total > ORDERED:
+                break
+            least = r["p"]
+        t = tok.where(power >= least).select("tok").toArrow().column("tok").to_numpy()
+        return self.docs.sparkSession.sparkContext.broadcast(np.sort(t.view(np.uint64)))
+
+    def links(self) -> DataFrame:
+        """(a, b) pairs of similar vertices that join all vertices of a component."""
+        how = (self.k, self.num, self.den)
+        single = self._keep(self._scan(self.reps, _keys(*how, self._late()), "c bigint, v bigint"), "single")
+        shared = self._keep(single.join(single.groupBy("c").agg(F.count("*").alias("m")).where("m > 1"), "c"), "shared")
+        often = shared.where(F.col("m") > RARE).select("v").distinct().join(self.reps.select("v", "h"), "v")
+        combos = self._keep(self._scan(often, _keys(*how, None), "c bigint, v bigint"), "combos")
+        count = combos.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c")
+        held = self._keep(shared.where(F.col("m") <= RARE).select("c", "v").union(combos.join(count, "c").select("c", "v")), "held")
+        # The lead of a key is the holder with most shared keys for its size.
+        weight = held.groupBy("v").agg(F.count("*").alias("m")).join(self.reps.select("v", "n"), "v").select("v", (F.col("m") / F.col("n")).alias("w"))
+        led = held.join(self._keep(weight, "weight"), "v").groupBy("c").agg(F.max(F.struct("w", "v")).alias("lead"))
+        led = self._keep(led.select("c", F.col("lead.v").alias("lead"), F.col("lead.w").alias("w")), "led")
+        stars = held.join(led, "c").where("v <> lead")
+        # One star pair a set first, with its best lead; the others only where they still join two components.
+        best = stars.groupBy(F.col("v").alias("b")).agg(F.max(F.struct("w", "lead")).alias("l")).select(F.col("l.lead").alias("a"), "b")
+        found = self._verified(best)
+        more = self._apart(stars.select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct(), self._components(found))
+        found = found.union(self._verified(more))
+        return found.union(self._verified(self._across(held, self._components(found))))
+
+    def _components(self, links: DataFrame) -> DataFrame:
+        self.temps.append(components(links))
+        return self.temps[-1]
+
+    def _apart(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        at = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
+        return pairs.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def _across(self, held: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs of holders of one key in different components whose sizes and signatures allow similarity, in blocks."""
+        placed = self._keep(held.join(comp, "v", "left").select("c", "v", F.coalesce("comp", "v").alias("comp")), "placed")
+        mixed = placed.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
+        parts = F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")
+        open_ = self._keep(placed.join(mixed.select("c", parts), "c").join(self.marks, "v"), "open")
+        at = lambda s: [F.col("comp").alias("c" + s), F.col("v").alias(s), F.col("n").alias("n" + s), *[F.col(m).alias(s + m) for m in MARKS]]
+        x = open_.select("c", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), *at("a"))
+        y = open_.select("c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *at("b"))
+        return x.join(y, ["c", "part"]).where("ca < cb").where(_sizes_fit(self.num, self.den)).where(_marks_fit(self.num, self.den)).select("a", "b").distinct()
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of the pairs (a, b); most texts of no pair never reach a shuffle."""
+        fit = pairs.join(_side(self.marks, "a"), "a").join(_side(self.marks, "b"), "b").where(_sizes_fit(self.num, self.den)).where(_marks_fit(self.num, self.den))
+        at = lambda v: self.reps.select(F.col("v").alias(v), F.col("h").alias("h" + v))
+        fit = self._keep(fit.select("a", "b").join(at("a"), "a").join(at("b"), "b"), "pairs")
+        if not fit.take(1):
+            return fit.select("a", "b")
+        need = fit.select(F.col("ha").alias("h")).union(fit.select("hb")).distinct()
+        got = self._scan(need, lambda batches: batches, "h binary, text string").groupBy("h").agg(F.first("text").alias("text"))
+        two = fit.join(got.select(F.col("h").alias("hb"), F.col("text").alias("tb")), "hb")
+        both = two.join(got.select(F.col("h").alias("ha"), F.col("text").alias("ta")), "ha").select("a", "b", "ta", "tb")
+        return self._keep(both.mapInArrow(_similar(self.k, self.num, self.den), "a bigint, b bigint"), "links", rows=PAIR_ROWS)
 
 
 def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
-    """(key, n_shingles, class_id, component_id) of every row; links are 100 * |x & y| >= 100 * num / den * |x | y|."""
-    kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = f"id {kind}, key binary, n bigint, prefix array<bigint>, tokens array<bigint>, " + ", ".join(f"{m} bigint" for m in MARKS)
-    all_ = materialise(docs.mapInArrow(_sketch(shingle, num, den), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
-    # One row per word sequence stands for its copies; an id with several sequences is linked with each of them below.
-    reps = materialise(all_.where("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("r")).select("key", F.col("r.id").alias("owner"), F.col("r.row").alias("row")), "reps")
-    mine = reps.select("row")
-    # From here on a vertex is a row number.
-    sets = all_.where("n > 0").drop("id", "key", "prefix").withColumnRenamed("row", "id")
-    marks = sets.select("id", "n", *MARKS)
-    tok = all_.where("n > 0").select("row", "n", "prefix").join(mine, "row", "left_semi").select(F.col("row").alias("id"), "n", F.explode("prefix").alias("c"))
-    shared = materialise(tok.join(tok.groupBy("c").agg(F.count("*").alias("m")).where("m > 1"), "c"), "shared")
-    rare = (
-        shared.where(F.col("m") <= RARE)
-        .groupBy("c")
-        .agg(F.collect_list(F.struct("id", "n")).alias("g"))
-        .select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> y.id > x.id), y -> struct(x.id as a, y.id as b, x.n as na, y.n as nb))))")).alias("p"))
-        .select("p.*")
-        .where(_sizes_fit(num, den))
-        .select("a", "b")
-        .distinct()
-    )
-
-    # Texts with frequent prefix tokens: enough of the extended prefix must be held by others.
-    # (A few more texts may pass the id filters; they only add candidates.)
-    often = materialise(shared.where(F.col("m") > RARE).select("id").distinct(), "often")
-    q = split_by_filter(sets.select("id", "n", "tokens"), often, "id", True)
-    ext = q.mapInArrow(_combos(num, den, "extended"), "c bigint, id bigint, n bigint")
-    held = ext.join(ext.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c"), "c").groupBy("id", "n").agg(F.count("*").alias("f"))
-    p = F.expr(f"n - cast(ceil({num} * n / {den}) as bigint) + 1")
-    held = materialise(held.where(F.col("f") >= F.floor(2 * F.lit(num / den) * p) - 3).select("id"), "often")
-    q = split_by_filter(q, held, "id", True)
-    combos = materialise(q.mapInArrow(_combos(num, den, "combinations"), "c bigint, id bigint, n bigint").select("c", "id"), "combos")
-    groups = combos.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1")
-    held = materialise(combos.join(groups, "c").select("c", "id", "lead"), "held")
-    stars = held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    # One star pair a text first; the others only where they still join two components.
-    least = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = materialise(_verify(_plausible(least.union(rare).distinct(), marks, num, den), sets, num, den), "links")
-    comp = components(first)
-    at = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
-    apart = stars.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    first = materialise(first.union(_verify(_plausible(apart, marks, num, den), sets, num, den)), "links")
-    comp = components(first)
-    placed = held.select("c", "id").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c")
-    open_ = materialise(placed.join(mixed, "c").join(marks, "id"), "open")
-    x = open_.select("c", F.col("comp").alias("ca"), *[F.col(v).alias(w) for v, w in zip(("id", "n", *MARKS), ("a", "na", *["a" + m for m in MARKS]))])
-    y = open_.select("c", F.col("comp").alias("cb"), *[F.col(v).alias(w) for v, w in zip(("id", "n", *MARKS), ("b", "nb", *["b" + m for m in MARKS]))])
-    cross = x.join(y, "c").where("ca < cb").where(_sizes_fit(num, den)).where(_marks_fit(num, den)).select("a", "b").distinct()
-    same = reps.groupBy("owner").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z").select("owner", "a")
-    same = reps.join(same, "owner").where("row <> a").select("a", F.col("row").alias("b"))
-    comp = components(first.union(_verify(cross, sets, num, den)).union(same))
-    placed = reps.join(comp.withColumnRenamed("v", "row"), "row", "left").select("key", "owner", F.coalesce("comp", "row").alias("comp"))
-    least_id = placed.groupBy("comp").agg(F.min("owner").alias("component"))
-    rep = placed.join(least_id, "comp").select("key", F.col("owner").alias("class_id"), "component")
-    return all_.select("id", "key", "n").join(rep, "key", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id")
-    )
+    """(key, n_shingles, component_id) of every row; links are den * |x & y| >= num * |x | y|."""
+    j = Join(df, key, text, shingle, num, den)
+    links = j.links()
+    # An id with several texts joins their components.
+    has = materialise(j.all.where("n > 0").groupBy("id", "v").agg(F.count("*").alias("m")).select("id", "v"), "has")
+    several = has.where("id is not null").groupBy("id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("id", "a")
+    same = has.join(several, "id").where("v <> a").select("a", F.col("v").alias("b"))
+    comp = components(links.union(same))
+    placed = materialise(has.join(comp, "v", "left").select("id", "v", F.coalesce("comp", "v").alias("comp")), "placed")
+    name = placed.groupBy("comp").agg(F.min("id").alias("component"))
+    name = materialise(placed.select("v", "comp").distinct().join(name, "comp").select("v", "component"), "names")
+    j.close()
+    for t in (has, comp, placed):
+        drop(t)
+    out = j.all.where("n > 0").join(name, "v").select("id", "n", F.col("component"))
+    out = out.union(j.all.where("n = 0").select("id", "n", F.col("id")))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with the smallest key stays.
+
+    Of repeated rows one stays; of an id's several texts those stay that are not near another row that
+    stays; rows without an id are rows of their own and stay only where no row with an id is near them.
+    Rows without words stay. Rows that surely stay are not shuffled.
+    """
+    j = Join(df, key, text, shingle, num, den)
+    comp = components(j.links())
+    named = materialise(j.all.where("n > 0").join(comp, "v", "left").select("id", "h", F.coalesce("comp", "v").alias("comp")), "named")
+    # Ids in order, then rows without one; ties go by the handle.
+    best = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"), F.count("*").alias("m")).where("m > 1")
+    lose = materialise(named.join(best.select("comp", F.col("best.h").alias("stay")), "comp").where("h <> stay").select("h").distinct(), "lose")
+    twice = named.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    special = materialise(lose.union(twice).distinct(), "special")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), handle(key, text).alias("h"))
+    clear = split_by_filter(rows, special, "h", False).select("row.*")
+    checked = split_by_filter(rows, special, "h", True).join(lose, "h", "left_anti")
+    # Only rows with words can be repeated here; those without share one handle a key.
+    has = F.length(F.translate(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), " \t\n\x0b\x0c\r", "")) > 0
+    j.close()
+    for t in (comp, named, j.made):
+        drop(t)
+    return clear.union(checked.where(has).dropDuplicates(["h"]).select("row.*")).union(checked.where(~has).select("row.*"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 85, 100).select("doc_id", "n_shingles", "component_id")
+    return join(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 85, 100)

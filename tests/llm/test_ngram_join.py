@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from loomgraph.llm import ngram_join
@@ -75,3 +76,46 @@ def test_sets_of_one_frequent_shingle(spark, tmp_path, monkeypatch, rare):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, n long").write.parquet(f"{tmp_path}/documents.parquet")
     assert ngram_join.op4_ngram_join(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_similar_sets_share_a_combination(num):
+    r, g = random.Random(num), np.random.default_rng(num)
+    tried = 0
+    while tried < 1500:
+        n = r.choice((r.randint(4, 12), r.randint(4, 40), r.randint(40, 400)))
+        x = np.unique(g.integers(0, 1 << 64, n, dtype=np.uint64))
+        gone, new = r.randint(0, n // 9), r.randint(0, n // 9)
+        y = np.unique(np.concatenate([g.permutation(x)[gone:], g.integers(0, 1 << 64, new, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(x) + len(y) == 2 * both or 100 * both < num * (len(x) + len(y) - both):
+            continue
+        tried += 1
+        assert len(np.intersect1d(ngram_join.combinations(x, num, 100), ngram_join.combinations(y, num, 100)))
+
+
+def test_unrelated_sets_with_a_common_passage_share_few_combinations():
+    g = np.random.default_rng(7)
+    common = g.integers(0, 1 << 64, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, g.integers(0, 1 << 64, 70, dtype=np.uint64)])) for _ in range(200)]
+    keys = np.concatenate([ngram_join.combinations(s, 85, 100) for s in sets])
+    m = np.unique(keys, return_counts=True)[1]
+    assert (m * (m - 1) // 2).sum() < 0.05 * 200 * 199 / 2
+
+
+def test_one_of_each(spark):
+    t = [f"w{i}" for i in range(60)]
+    near, far = " ".join([*t, "x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, " ".join(t), 1), (3, near, 2), (3, near, 3), (3, far, 4), (None, near, 5), (None, "lone text here", 6), (None, "lone text here", 7), (8, "", 8), (8, "", 9), (9, None, 10), (7, far, 11), (6, "A b", 12), (6, "a  B", 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h long")
+    got = sorted(r["h"] for r in ngram_join.one_of_each(df, "doc_id", "text", 5, 80, 100).collect())
+    pick = lambda a: len([x for x in got if x in a])
+    assert [x for x in got if x in (4, 8, 9, 10)] == [4, 8, 9, 10] and pick((2, 3)) == 1 and pick((6, 7)) == 1 and pick((12, 13)) == 1 and len(got) == 7
+    assert ngram_join.one_of_each(df.limit(0), "doc_id", "text", 5, 80, 100).count() == 0
+
+
+def test_several_texts_null_ids_and_repeats(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(4, a), (4, b), (2, a + " z"), (9, b), (9, b), (None, b + " z"), (None, "only this one"), (1, "word " * 30_000), (0, "word " * 20_000)]
+    got = sorted(((r[0], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85, 100).collect()), key=str)
+    assert got == sorted([(4, 2), (4, 2), (2, 2), (9, 2), (9, 2), (None, 2), (None, None), (1, 0), (0, 0)], key=str)
