@@ -72,12 +72,12 @@ def crc_mod(col: str, n: int):
 FILTER_BITS = 25
 
 
-def id_filter(ids: DataFrame, col: str) -> np.ndarray:
-    """A bitmap (4 MB whatever the input size) of hashed ids; false positives only.
+def id_filter(ids: DataFrame, col: str, raw: bool = False) -> np.ndarray:
+    """A bitmap (4 MB whatever the input size) of hashed ids (``raw``: of small numbers as they are); false positives only.
 
     It thins a large side before an exact semi join; once it saturates, the join does all the work.
     """
-    h = F.pmod(F.xxhash64(F.col(col)), F.lit(1 << FILTER_BITS)) + 1  # bitmap positions start at 1
+    h = F.pmod(F.col(col) if raw else F.xxhash64(F.col(col)), F.lit(1 << FILTER_BITS)) + 1  # bitmap positions start at 1
     rows = (
         ids.select(h.alias("h"))
         .groupBy(F.bitmap_bucket_number("h").alias("b"))
@@ -152,3 +152,28 @@ def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``ids``; only rows that may be in it are shuffled."""
     maybe = split_by_filter(df, ids, key, True).join(ids.select(key).distinct(), key, "left_anti").select(*df.columns)
     return split_by_filter(df, ids, key, False).union(maybe)
+
+
+def handle(key: str, text: str):
+    """A row's handle: equal for repeated rows only, and the same in every scan of the table."""
+    name = F.to_json(F.struct(F.col(key).alias("i")))
+    return F.unhex(F.md5(F.concat(name, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+def scan(docs: DataFrame, handles: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` over the Arrow batches of the rows of ``docs`` whose handle h the id filter of ``handles`` lets pass."""
+    import pyarrow as pa
+
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(handles, "h"))
+
+    def run(batches):
+        def wanted():
+            for b in batches:
+                at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7)) & 1 == 1))
+                if b.num_rows:
+                    yield b.select(list(range(b.num_columns - 1)))
+
+        yield from function(wanted())
+
+    return docs.select("*", F.pmod(F.xxhash64("h"), F.lit(len(bits.value) * 8))).mapInArrow(run, schema)

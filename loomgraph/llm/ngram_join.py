@@ -6,10 +6,11 @@ Jaccard at least t share a token of their prefixes of n - ceil(t n) + 1 tokens,
 
 * Rare prefix tokens (held by at most ``RARE`` sets) are indexed singly.
 * Sets with a frequent prefix token, and a pair that shares only such tokens consists of two of them,
-  are indexed by token combinations: the hash line is cut into cells, as many as two similar sets can
-  differ in tokens and one more, and a combination is all tokens of one cell. Each differing token
-  spoils one cell at most, so similar sets agree in one of the first cells: the prefix extended to
-  these is enough. A combination of few tokens is extended by the cells of a second and third deal.
+  are indexed by token combinations: the hash line is cut into cells, more than two similar sets can
+  differ in tokens, and a combination is all tokens of one cell. Each differing token spoils one cell
+  at most, so similar sets agree in one of the first cells: the prefix is extended until it has one
+  cell of several tokens more than tokens can differ. The few cells of small sets are combined with
+  those of a second and third deal.
 * A key's holders are compared with one lead first (the holder with most shared keys for its size);
   once components are known, only holders of different components are still compared.
 
@@ -34,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, drop, id_filter, materialise, split_by_filter, table
+from loomgraph.llm.common import components, drop, handle, materialise, scan, split_by_filter, table
 
 RARE = 12
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Bits of a set's parity signature, in WIDE columns of 64.
 BITS = 512
 WIDE = BITS // 64
@@ -97,10 +98,10 @@ def most_apart(m: int, num: int, den: int) -> int:
     return 2 * m * (den - num) // (den + num)
 
 
-def ladder(least: int) -> int:
-    """The number of cells in use for at least so many: 1, 2, 3, 4, 6, 8, 11, 16, ..."""
+def ladder(apart: int) -> int:
+    """Cells of the whole line for sets that differ in so many tokens: 2, 3, 4, 6, 8, 11, 16, ..."""
     g, i = 1, 0
-    while g < least:
+    while g <= apart:
         i += 1
         g = int(2 ** (i / 2) + 0.5)
     return g
@@ -108,45 +109,48 @@ def ladder(least: int) -> int:
 
 @lru_cache(maxsize=100_000)
 def grids(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
-    """(cells of the whole line, first cells in use) under which a set of n is indexed: one for every size of a larger similar set.
+    """(cells of the whole line, tokens that may differ) under which a set of n is indexed: one for every size of a larger similar set.
 
-    Sets of n and m >= n meet in the cells for ``most_apart(m)``, which both have in use. Empty: only equal sets are similar.
+    Sets of n and m >= n meet in the cells for ``most_apart(m)``. Empty: only equal sets are similar.
     """
     low, high = most_apart(n, num, den), most_apart(den * n // num, num, den)
-    out, g = [], ladder(max(low, 1) + 1)
-    while high and (not out or out[-1][0] < high + 1):
-        out.append((g, min(g, high + 1)))
-        g = ladder(g + 1)
-    return tuple(out)
-
-
-def cells(s: np.ndarray, g: int, use: int, level: int, path) -> list[int]:
-    """Keys of the first ``use`` of g cells; combinations of few tokens are extended by another deal of the line."""
-    line = s if not level else _mix(s ^ np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
-    at = ((line >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
-    if level:
-        order = np.argsort(at, kind="stable")
-        at, line = at[order], line[order]
-    cut = np.searchsorted(at, np.arange(use + 1))
+    return tuple(sorted({ladder(d): d for d in range(max(low, 1), high + 1)}.items()))
+
+
+def deals(s: np.ndarray, g: int, use: int) -> np.ndarray:
+    """Keys of the first ``use`` of g cells, each with each of another two deals (g = 2) or one: for the few cells of small sets."""
+    key = np.full(1, g, np.uint64)
+    for level in range(3 if g < 3 else 2):
+        line = _mix(s ^ np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
+        order = np.argsort(line)
+        at = ((line[order] >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
+        run = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(_mix(line[order]), out=run[1:])
+        cut = np.searchsorted(at, np.arange(use + 1))
+        part = (run[cut[1:]] - run[cut[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(use).astype(np.uint64)
+        key = _mix(key[:, None] * np.uint64(0x9E3779B97F4A7C15) + part[None, :]).ravel()
+    return key
+
+
+def cells(s: np.ndarray, g: int, apart: int, strong: int) -> np.ndarray:
+    """Keys of the first cells of g, up to ``apart`` + 1 that hold at least ``strong`` tokens: one at least agrees with a similar set's.
+
+    Cells of fewer tokens are passed over, which extends the prefix; where too few are strong, all cells are keys.
+    """
+    cut = np.searchsorted(s >> np.uint64(32), (np.arange(g + 1).astype(np.uint64) * np.uint64(1 << 32) + np.uint64(g - 1)) // np.uint64(g))
+    size = np.diff(cut)
+    keep = np.flatnonzero(size >= strong)
+    keep = keep[: apart + 1] if len(keep) > apart else np.arange(g)
     run = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(_mix(line), out=run[1:])
-    size = np.diff(cut).astype(np.uint64)
-    key = _mix((run[cut[1:]] - run[cut[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(use).astype(np.uint64) + (size << np.uint64(32)) + np.uint64(path))
-    if level == 2:
-        return key.tolist()
-    weak = size < 2 if g > 4 or level > (g < 3) else np.ones(use, bool)
-    out = key[~weak].tolist()
-    for k in key[weak]:
-        out += cells(s, g, use, level + 1, k)
-    return out
+    np.cumsum(_mix(s), out=run[1:])
+    return _mix((run[cut[keep + 1]] - run[cut[keep]]) * np.uint64(0x9E3779B97F4A7C15) + keep.astype(np.uint64) + (size[keep].astype(np.uint64) << np.uint64(32)) + np.uint64(g))
 
 
 def combinations(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the token combinations of a whole set."""
-    out: list[int] = []
-    for g, use in grids(len(s), num, den):
-        out += cells(s, g, use, 0, g)
-    return np.unique(np.array(out, np.uint64))
+    strong = 2 if num + den >= 12 * (den - num) else 1
+    out = [cells(s, g, d, strong) if g > 4 else deals(s, g, d + 1) for g, d in grids(len(s), num, den)]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def vertex(s: np.ndarray) -> int | None:
@@ -262,12 +266,6 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(F.col("v").alias(side), F.col("n").alias(f"n{side}"), *[F.col(m).alias(side + m) for m in MARKS])
 
 
-def handle(key: str, text: str):
-    """A row's handle: equal for repeated rows only, and the same in every scan of the table."""
-    name = F.to_json(F.struct(F.col(key).alias("i")))
-    return F.unhex(F.md5(F.concat(name, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
-
-
 class Join:
     """The steps of one self-join; ``all`` has a row (id, handle h, v, n) for every row of the input."""
 
@@ -294,20 +292,7 @@ class Join:
         self.temps = []
 
     def _scan(self, handles: DataFrame, function, schema: str) -> DataFrame:
-        """``function`` over the batches (h, text) of the rows whose handle the id filter lets pass."""
-        bits = self.docs.sparkSession.sparkContext.broadcast(id_filter(handles, "h"))
-
-        def run(batches):
-            def wanted():
-                for b in batches:
-                    h = b.column(2).to_numpy(zero_copy_only=False)
-                    b = b.filter(pa.array((bits.value[h >> 3] >> (h & 7)) & 1 == 1))
-                    if b.num_rows:
-                        yield b.select([0, 1])
-
-            yield from function(wanted())
-
-        return self.docs.select("h", "text", F.pmod(F.xxhash64("h"), F.lit(len(bits.value) * 8))).mapInArrow(run, schema)
+        return scan(self.docs.select("h", "text"), handles, function, schema)
 
     def _late(self):
         """Tokens that come last in the global order, sorted: the most frequent ones by powers of two, at most ORDERED."""

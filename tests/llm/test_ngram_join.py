@@ -100,7 +100,7 @@ def test_unrelated_sets_with_a_common_passage_share_few_combinations():
     sets = [np.unique(np.concatenate([common, g.integers(0, 1 << 64, 70, dtype=np.uint64)])) for _ in range(200)]
     keys = np.concatenate([ngram_join.combinations(s, 85, 100) for s in sets])
     m = np.unique(keys, return_counts=True)[1]
-    assert (m * (m - 1) // 2).sum() < 0.05 * 200 * 199 / 2
+    assert (m * (m - 1) // 2).sum() < 0.1 * 200 * 199 / 2
 
 
 def test_one_of_each(spark):
