@@ -27,6 +27,17 @@ FINANCE = r"(return|variance|covariance|correlation|portfolio|sharpe|beta|alpha)
 REJECT = (r"^[ \t]*[0-9]+[ \t]*$", r"^[ \t]*\[[ ]*[0-9]+[ ]*\][ \t]*$", r"^[ \t]*[A-Za-z][0-9]*[ \t]*$", r"^[ \t]*[0-9]+\.[ \t]*[A-Z][A-Za-z ]+$", r"(page|section|chapter|figure|table|equation|example)[ ]+[0-9]+", r"^[A-Z]{2,5}$", r"[0-9]{1,2}:[0-9]{2}", r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}")
 
 
+# The detector's operators, finance terms and environments of several lines.
+DETECTOR_OPERATORS = r"[+*/^()\[\]{}|⊗⊕⊙†‖∘-]"
+DETECTOR_FINANCE = (
+    r"(?i)(^|[^A-Za-z0-9_])(return|variance|covariance|correlation|portfolio|sharpe|beta|alpha)($|[^A-Za-z0-9_])",
+    r"(^|[^A-Za-z0-9_])(E|Var|Cov)\([^\n]*?\)[A-Za-z0-9_]",
+    r"(^|[^A-Za-z0-9_])[σμρβα]($|[^A-Za-z0-9_])",
+)
+ENVIRONMENTS = tuple(rf"(?s)\\begin\{{{e}\}}.*?\\end\{{{e}\}}" for e in (r"align\*?", r"gather\*?", "split", "cases", "array", r"eqnarray\*?"))
+DETECTOR_SUBSCRIPT = r"[A-Za-z_][A-Za-z0-9_]*[_₀₁₂₃₄₅₆₇₈₉]"
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
@@ -46,9 +57,9 @@ def score(c: Column) -> Column:
     """Evidence that a text is mathematical: capped counts of symbols, equations, operators, variables and structure."""
     cap = lambda x, top: F.least(F.lit(float(top)), x.cast("double"))
     s = (
-        cap(0.5 * count(c, SYMBOLS), 3) + cap(hits(c, EQUATIONS), 2) + cap(0.2 * count(c, OPERATORS), 2) + cap(0.1 * count(c, VARIABLES), 1.5)
-        + cap(0.5 * hits(F.lower(c), (FINANCE,)), 2) + cap(hits(c, (r"\[[^\]]*\]", "∑", "∏", "∫")), 2)
-        + cap(0.3 * (count(c, SUBSCRIPT) + count(c, SUPERSCRIPT)), 1) + cap(0.5 * count(c, FRACTION), 1)
+        cap(0.5 * count(c, SYMBOLS), 3) + cap(hits(c, EQUATIONS), 2) + cap(0.2 * count(c, DETECTOR_OPERATORS), 2) + cap(0.1 * F.size(variable_words(c)), 1.5)
+        + cap(0.5 * hits(c, DETECTOR_FINANCE), 2) + cap(hits(c, (r"\[[^\]]*\]", "∑", "∏", "∫")), 2) + cap(1.5 * hits(c, ENVIRONMENTS), 3)
+        + cap(0.3 * (count(c, DETECTOR_SUBSCRIPT) + count(c, SUPERSCRIPT)), 1) + cap(0.5 * count(c, FRACTION), 1)
         + F.when(has(c, r"\[MATHREF_[^\]]+\]"), 5.0).otherwise(0.0)
     )
     return F.when(has(c, r"[^ \t\n]"), s).otherwise(0.0)
@@ -107,10 +118,15 @@ def semantic_group(c: Column) -> Column:
     )
 
 
+def variable_words(c: Column) -> Column:
+    """Every single letter, indexed and subscripted name, in order."""
+    padded = F.regexp_replace(c, "[^A-Za-z0-9_]+", "  ")
+    return F.filter(F.split(padded, " +"), lambda w: F.regexp_like(w, F.lit("^[A-Za-z]([0-9]+|_[A-Za-z0-9]+)?$")))
+
+
 def variables(c: Column) -> Column:
     """Distinct single letters, indexed and subscripted names, and symbols, in alphabetical order."""
-    padded = F.regexp_replace(c, "[^A-Za-z0-9_]+", "  ")
-    names = F.filter(F.split(padded, " +"), lambda w: F.regexp_like(w, F.lit("^[A-Za-z]([0-9]+|_[A-Za-z0-9]+)?$")))
+    names = variable_words(c)
     return F.array_sort(F.array_distinct(F.concat(names, F.regexp_extract_all(c, F.lit(f"({SYMBOLS})"), 1))))
 
 

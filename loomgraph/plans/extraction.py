@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import mathtext as M
 from loomgraph.operators import extract as X
 from loomgraph.plans.common import frame, table, values
+from loomgraph.plans.composed import maths
 
 EXPR = values("id, body", [
     (1, "E(R_p) = w μ"), (2, "σ_p = w1 + w2"), (3, "x = 3"), (4, "the portfolio return"), (5, "a/b"), (6, "3/4 of it"), (7, "matrix A"), (8, "∑ x_i"), (9, "12"), (10, "[3]"), (11, "plain words only here"),
@@ -38,9 +39,6 @@ def cap(x: str, top: float) -> str:
     return f"least({top}, {x})"
 
 
-SCORE = f"CASE WHEN {has('[^ ]')} THEN " + " + ".join([
-    cap(f"0.5 * {n(M.SYMBOLS)}", 3), cap(hits(M.EQUATIONS), 2), cap(f"0.2 * {n(M.OPERATORS)}", 2), cap(f"0.1 * {n(M.VARIABLES)}", 1.5), cap(f"0.5 * {hits((M.FINANCE,), 'lower(body)')}", 2),
-    cap(hits((r"\[[^\]]*\]", "∑", "∏", "∫")), 2), cap(f"0.3 * ({n(M.SUBSCRIPT)} + {n(M.SUPERSCRIPT)})", 1), cap(f"0.5 * {n(M.FRACTION)}", 1)]) + " ELSE 0.0 END"
 REJECTED = f"({hits(M.REJECT)} > 0 OR length(trim(body)) < 3 OR (length(body) > 10 AND {n('[A-Za-z]')}::DOUBLE / greatest(length(body), 1) > 0.8))"
 OPS2 = n(r"[+*/^()\[\]{}|=<>≤≥≠≈±∓×÷∘-]")
 IMPROVED = f"CASE WHEN {REJECTED} THEN 0.0 ELSE " + " + ".join([
@@ -70,6 +68,15 @@ TESTLEX = {"german": ("der|die", "und"), "french": ("les", "que"), "other": ("th
 TL = {k: "(" + " + ".join(n(p, "lower(text)") for p in ps) + ")" for k, ps in TESTLEX.items()}
 
 
+MARKED = values("id, body", [(31, "see [MATHREF_7] there"), (32, "\\begin{align} a &= b \\end{align}\\begin{cases} c \\end{cases}"), (33, "E(x)y and Var(z) of α and the Sharpe return"), (34, "a b c d x1 y_2 é z")])
+MATHS_IN = f"(SELECT id, body FROM {EXPR} UNION ALL SELECT id, body FROM {MARKED} UNION ALL SELECT doc_id + 1000, coalesce(text, '') FROM documents)"
+
+
+def maths_in(s, d):
+    """Expressions, marked texts and all documents."""
+    return e(s).union(frame(s, MARKED.replace(chr(92), chr(92) * 2))).union(table(s, d, "documents").select(F.col("doc_id") + 1000, F.coalesce("text", F.lit(""))))
+
+
 def blocks(s, d):
     return X.math_lines(table(s, d, "documents"), "text", "doc_id")
 
@@ -84,7 +91,7 @@ GSQL = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GROUPS.items(
 TOTAL = f"round(0.25 * base + 0.2 * how + 0.15 * least(1.0, 0.2 * n) + 0.2 * {SIM} + 0.1 * maths + 0.01, 6)::DOUBLE"
 
 QUERIES = {
-    "math_score": (lambda s, d: e(s).select("id", F.round(M.score(F.col("body")), 6).alias("score"), F.round(M.confidence(M.score(F.col("body"))), 6).alias("confidence")), f"SELECT id, round({SCORE}, 6)::DOUBLE AS score, round(least(1.0, ({SCORE}) / 18), 6)::DOUBLE AS confidence FROM {EXPR}"),
+    "math_score": (lambda s, d: maths_in(s, d).select("id", F.round(M.score(F.col("body")), 6).alias("score"), F.round(M.confidence(M.score(F.col("body"))), 6).alias("confidence")), f"SELECT id, round({maths('body')}, 6)::DOUBLE AS score, round(least(1.0, ({maths('body')}) / 18), 6)::DOUBLE AS confidence FROM {MATHS_IN}"),
     "improved_math_score": (lambda s, d: e(s).select("id", F.round(M.improved_score(F.col("body")), 6).alias("score"), M.rejected(F.col("body")).alias("rejected")), f"SELECT id, round({IMPROVED}, 6)::DOUBLE AS score, {REJECTED} AS rejected FROM {EXPR}"),
     "pdf_line_score": (lambda s, d: e(s).select("id", M.line_score(F.col("body")).alias("score")), f"SELECT id, {LINE} AS score FROM {EXPR}"),
     "semantic_group": (lambda s, d: e(s).select("id", M.semantic_group(F.col("body")).alias("grp")), f"SELECT id, {GROUP} AS grp FROM {EXPR}"),
