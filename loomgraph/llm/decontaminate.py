@@ -4,13 +4,17 @@ An item of n words is indexed by the 64-bit SimHashes of windows whose size is t
 geometric ladder that leaves room for the stride; documents are fingerprinted in windows of every
 size in use, from running sums of word bits. Fingerprints within ``RADIUS`` agree up to
 RADIUS // 4 bits in one of four 16-bit blocks, so tables of the blocks' neighbours find all of them.
-Each hit is verified by the weighted Jaccard similarity of its five-word shingles with the item's.
+Each hit is verified by the weighted Jaccard similarity of its five-word shingles with the item's: a
+shingle of the item weighs the more the fewer items of the whole benchmark hold it, any other one as
+much as a shingle that a single item holds.
 
-Items are handled in blocks of ``ITEM_BLOCK``, so what is broadcast is bounded whatever the benchmark.
+Items are handled in blocks of ``ITEM_BLOCK``, so what is broadcast is bounded whatever the benchmark;
+weights are the same whatever the blocks, and so are the results.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than five words is one
-shingle; repeated rows each get their rows; empty tables give empty results; extra columns are
-ignored. Whole texts are searched.
+shingle; repeated rows each get their rows, repeated items count once in the weights; of equal matches
+of an item in a text the first is named; empty tables give empty results; extra columns are ignored.
+Whole texts are searched, in slices of whole texts that bound the memory.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import materialise, table
 from loomgraph.llm.ngram_join import CACHE_WORDS, _Hashes, _mix, words
 
 RADIUS = 7
@@ -89,7 +93,8 @@ def shingles(h: np.ndarray) -> np.ndarray:
 class Index:
     """Multi-index Hamming tables of one block of items."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], n_items: int, often: dict[int, int]):
+        """``items`` are (id, text) of the block; ``often`` has the items of each shingle that several of the ``n_items`` hold."""
         cache = _Hashes()
         self.ids, self.sizes, self.sets, by = [], [], [], {}
         for item, text in items:
@@ -105,19 +110,18 @@ class Index:
             starts = sorted({*range(min(STRIDE, last + 1)), *range(max(0, last - STRIDE + 1), last + 1)})
             fp = simhash(running_bits(h, lane(w)), np.array(starts), w)
             by.setdefault(w, []).extend((int(f), j, o) for f, o in zip(fp, starts))
-        every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
-        self.known, df = np.unique(every, return_counts=True)
-        n = max(len(self.ids), 1)
-        self.weight, self.rare = 1 + np.log(n / df), 1 + math.log(n)
-        self.mass = [float(self.weights(s).sum()) for s in self.sets]
+        self.rare = 1 + math.log(max(n_items, 1))
+        self.weight = [np.array([self.rare - math.log(often.get(x, 1)) for x in s.tolist()]) for s in self.sets]
+        self.mass = [float(w.sum()) for w in self.weight]
         self.tables = {w: self._tables(fps) for w, fps in by.items()}
         self.stride = {w: min([STRIDE, *[self.sizes[j] - w + 1 for _, j, _ in fps]]) for w, fps in by.items()}
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(s), self.rare)
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.weight[at], self.rare)
+    def similarity(self, j: int, got: np.ndarray) -> float:
+        """Weighted Jaccard similarity of a set of shingles with item j's."""
+        if not len(got):
+            return 0.0
+        hit = got[np.minimum(np.searchsorted(got, self.sets[j]), len(got) - 1)] == self.sets[j]
+        return float(self.weight[j][hit].sum()) / (self.mass[j] + self.rare * (len(got) - int(hit.sum())))
 
     @staticmethod
     def _tables(fps: list[tuple]):
@@ -185,8 +189,7 @@ class Index:
                     continue
                 tried.add((j, lo, hi))
                 got = shingles(flat[lo:hi])
-                both = float(self.weights(np.intersect1d(got, self.sets[j], assume_unique=True)).sum())
-                sim = both / (float(self.weights(got).sum()) + self.mass[j] - both)
+                sim = self.similarity(j, got)
                 if sim >= THRESHOLD - 1e-12 and sim > best.get((k, j), (0, 0, -1.0))[2]:
                     best[k, j] = (lo - lo0, hi - lo, sim)
         return [(k, j, *v) for (k, j), v in best.items()]
@@ -203,13 +206,28 @@ def _slices(texts: list):
         yield lo, len(texts)
 
 
+def _item_shingles(batches):
+    for b in batches:
+        cache = _Hashes()
+        sets = [shingles(hash_words(words(t), cache)) for t in b.column(1).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["i", "s"])
+
+
 def item_blocks(bench: DataFrame, item: str, text: str):
     """Indexes of the benchmark's items, one block of about ITEM_BLOCK at a time."""
     b = bench.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null")
+    total = b.select("i").distinct().count()
     n = max(1, math.ceil(b.count() / ITEM_BLOCK))
+    held = b.mapInArrow(_item_shingles, f"i {b.schema['i'].dataType.simpleString()}, s bigint").distinct()
+    often = materialise(held.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "often")
     for k in range(n):
-        rows = b.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()
-        yield Index([(r["i"], r["t"]) for r in rows])
+        mine = F.pmod(F.xxhash64("i"), F.lit(n)) == k
+        rows = b.where(mine).collect()
+        # At most as many as the block's items have shingles.
+        df = often.join(held.where(mine).select("s").distinct(), "s", "left_semi").toArrow()
+        known = dict(zip(df.column("s").to_numpy().view(np.uint64).tolist(), df.column("n").to_pylist()))
+        yield Index([(r["i"], r["t"]) for r in rows], total, known)
 
 
 def find(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -245,7 +263,8 @@ def find(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str = "it
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found; rows stay in their tasks."""
+    """The rows of ``docs`` in which no item is found; rows stay in their tasks, each as one struct, so that no column clashes with ours."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
     for index in item_blocks(bench, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -253,7 +272,7 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
             index, cache = shared.value, _Hashes()
             for b in batches:
                 hashes = []
-                for t in b.column(b.num_columns - 1).to_pylist():
+                for t in b.column(1).to_pylist():
                     if len(cache) > CACHE_WORDS:
                         cache.clear()
                     hashes.append(hash_words(words(t), cache))
@@ -261,10 +280,10 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
                 for lo, hi in _slices(hashes):
                     for k, *_ in index.search(hashes[lo:hi]):
                         hit[lo + k] = True
-                yield b.filter(pa.array(~hit)).select(list(range(b.num_columns - 1)))
+                yield b.filter(pa.array(~hit))
 
-        docs = docs.withColumn("_probe", F.col(text)).mapInArrow(run, docs.schema)
-    return docs
+        d = d.mapInArrow(run, d.schema)
+    return d.select("row.*")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
