@@ -1,8 +1,10 @@
 """Personal data by bootstrapped contextual extraction (native: DataFrame functions only).
 
-Seed entities (four regular expressions with checks) induce lexical patterns, the word to the left
-or right of an entity. Patterns and instances form a bipartite graph whose scores are iterated;
-patterns of high confidence then mark further tokens of a fitting shape as identifiers.
+Seed entities (four regular expressions with checks, and long hexadecimal strings in quotes that
+something is set to: secrets) induce lexical patterns: the word or the two words to the left of an
+entity, or the word to its right. Patterns and instances form a bipartite graph whose scores are
+iterated; patterns of high confidence then mark further tokens of a fitting shape as identifiers.
+Secrets, too, are marked by such patterns only.
 
 Defined cases: null text counts as empty and has no spans; repeated rows each get their row (a row
 number, not the id, keys the work); empty tables give empty results; other columns are ignored.
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of spans; the last is never a base span.
+ORDER = (*KINDS, "secret")
 _SP = r"\x20\x09-\x0D"
 #: The contract's expressions, made linear: a match can start only where a run of its first class
 #: does (or where the last match ended), and loops that never need to give back are possessive.
@@ -34,7 +38,10 @@ SHAPES = {
     "ip": r"^[0-9A-Fa-f]{1,4}([.:][0-9A-Fa-f]{1,4}){3,7}$",
     "card": r"^[0-9]{4}([ -]?[0-9]){9,15}$",
     "phone": r"^[(+]?[0-9][0-9().-]{5,17}[0-9]$",
+    "secret": r"^[0-9A-Za-z_+/=.-]{16,}$",
 }
+#: A seed of a secret, and what stands right before it.
+SECRET, SECRET_BEFORE = r"^[0-9a-f]{32,}$", r"[=:] ?[\x22\x27]$"
 ROUNDS = 3
 MIN_CONFIDENCE = 0.6
 MIN_SEEDS = 3
@@ -96,17 +103,22 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     d = d.withColumn("_c", F.expr(trim))
     free = "filter(_c, c -> length(c.x) > 0 and not exists(base, b -> c.s < b.e and c.s + length(c.x) > b.s))"
     d = d.withColumn("_c", F.expr(free))
-    left = r"regexp_extract(lower(substr(_t, greatest(1, {s} - 39), least(40, {s}))), '([^\\x20\\x09-\\x0D]+)[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]{{0,3}}$', 1)"
+    gap = r"[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]{{0,3}}$"
+    before = "lower(substr(_t, greatest(1, {s} - 39), least(40, {s})))"
+    left = rf"regexp_extract({before}, '([^\\x20\\x09-\\x0D]+){gap}', 1)"
+    two = rf"regexp_extract({before}, '([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+){gap}', 1)"
     right = r"regexp_extract(lower(substr(_t, {e} + 1, 40)), '^[^\\x20\\x09-\\x0D]{{0,3}}[\\x20\\x09-\\x0D]+([^\\x20\\x09-\\x0D]+)', 1)"
+    around = lambda s, e: f"'l', {left.format(s=s)}, 'm', {two.format(s=s)}, 'r', {right.format(e=e)}"
+    seed = f"case when lower(c.x) rlike {_quote(SECRET)} and substr(_t, greatest(1, c.s - 2), least(3, c.s)) rlike {_quote(SECRET_BEFORE)} then 'secret' end"
     return d.select(
         *keep,
-        F.expr(f"transform(base, b -> named_struct('o', b.o, 'kind', b.kind, 's', b.s, 'e', b.e, 'x', b.x, 'l', {left.format(s='b.s')}, 'r', {right.format(e='b.e')}))").alias("base"),
-        F.expr(f"transform(_c, c -> named_struct('s', c.s, 'e', c.s + length(c.x), 'x', lower(c.x), 'l', {left.format(s='c.s')}, 'r', {right.format(e='(c.s + length(c.x))')}))").alias("cands"),
+        F.expr(f"transform(base, b -> named_struct('o', b.o, 'kind', b.kind, 's', b.s, 'e', b.e, 'x', b.x, {around('b.s', 'b.e')}))").alias("base"),
+        F.expr(f"transform(_c, c -> named_struct('kind', {seed}, 's', c.s, 'e', c.s + length(c.x), 'x', lower(c.x), {around('c.s', '(c.s + length(c.x))')}))").alias("cands"),
     )
 
 
 def _contexts(row: str) -> str:
-    return f"filter(array(concat('L ', {row}.l), concat('R ', {row}.r)), p -> length(p) > 2)"
+    return f"filter(array(concat('L ', {row}.l), concat('M ', {row}.m), concat('R ', {row}.r)), p -> length(p) > 2)"
 
 
 def score_patterns(found: DataFrame) -> DataFrame:
@@ -117,7 +129,7 @@ def score_patterns(found: DataFrame) -> DataFrame:
     best of its patterns; seeds stay at 1.
     """
     seeds = found.select(F.explode("base").alias("b")).select(F.explode(F.expr(_contexts("b"))).alias("p"), F.col("b.x").alias("x"), F.col("b.kind").alias("kind"))
-    others = found.select(F.explode("cands").alias("c")).select(F.explode(F.expr(_contexts("c"))).alias("p"), F.col("c.x").alias("x"), F.lit(None).cast("string").alias("kind"))
+    others = found.select(F.explode("cands").alias("c")).select(F.explode(F.expr(_contexts("c"))).alias("p"), F.col("c.x").alias("x"), F.col("c.kind").alias("kind"))
     edges = materialise(seeds.union(others).groupBy("p", "x").agg(F.max("kind").alias("kind")), "edges")
     # Patterns without a seed can score only through instances they share with others.
     good = materialise(edges.where("kind is not null").select("x", "kind", F.lit(1.0).alias("w")).groupBy("x").agg(F.max("kind").alias("kind"), F.max("w").alias("w")), "inst")
@@ -161,7 +173,7 @@ def find(df: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
         .select("_row", F.explode("cands").alias("c"))
         .select("_row", "c.s", "c.e", "c.x", F.explode(F.expr(_contexts("c"))).alias("p"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("salt"))
     )
-    order = F.expr("case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end")
+    order = F.expr("case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(ORDER)) + " end")
     new = (
         occ.join(known, ["p", "salt"])
         .where(_fits("x", "kind"))
@@ -197,4 +209,5 @@ def said(spans: str):
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"), "text", ("doc_id",))
     counts = [F.expr(f"cast(size(filter(base, b -> b.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"))
+    n_found = F.size("spans").cast("long")
+    return found.select("doc_id", *counts, F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"), n_found.alias("n_spans"), (n_found - F.size("base")).alias("n_discovered"))

@@ -54,6 +54,15 @@ def test_confident_context_discovers_unseen_identifiers(spark, tmp_path):
     assert got[5000] == ""
 
 
+def test_secrets_are_marked_in_confident_contexts_only(spark, tmp_path):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f'some words token = "{h}" more') for i, h in enumerate(hexes[:40])] + [(100, 'other token = "k3y_Zz81-ffQqLm0012" end'), (101, 'token = "12" end'), (102, f"commit {hexes[50]} by me"), (103, f'commit {hexes[51]} "{hexes[52]}"')]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.n_spans, r.n_discovered) for r in pii.op3_pii(spark, str(tmp_path)).collect()}
+    assert got[0] == ("secret:20:60", 1, 1) and got[100] == ("secret:15:34", 1, 1)
+    assert {got[i] for i in (101, 102, 103)} == {("", 0, 0)}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert pii.op3_pii(spark, str(tmp_path)).count() == 0
