@@ -1,18 +1,21 @@
 """Quality rules with adaptive thresholds (native: DataFrame functions only).
 
-Per document a few shape metrics are computed inside the row. Mergeable KLL quantile sketches of
-the metrics are built per (language, source), merged to languages and to the whole corpus, and
-turned into outlier fences; a group too small to trust takes the fence of its language, then of the
+Per document a few shape metrics are computed inside the row. Mergeable quantile sketches of the
+metrics, counts in buckets of fixed relative width, are built per (language, source), merged to
+languages and to the whole corpus, and turned into outlier fences. Buckets only ever add up, so a
+quantile is within ERROR of the exact one and the same however the rows are dealt or merged; a group too small to trust takes the fence of its language, then of the
 corpus. Documents are joined with their group's fences and filtered.
 
 Defined cases: null or empty text has no words and fails the base rule; null lang or source form
-groups of their own; repeated rows each get their row; an empty table gives an empty result; other
-columns are ignored.
+groups of their own; repeated rows each get their row; values on a fence stay (ties); texts of any
+length are measured whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import WORD_SPLIT, materialise, table
@@ -22,7 +25,9 @@ METRICS = ("symbol_ratio", "upper_ratio", "dup_line_ratio", "mean_word", "repeat
 #: uniform clean texts does not reject its first deviation.
 LEAST_BOX = {"symbol_ratio": 0.02, "upper_ratio": 0.06, "dup_line_ratio": 0.15, "mean_word": 0.75, "repeat_ratio": 0.06}
 FENCE = 3.0
-SKETCH_K = 2048
+#: Relative error of a sketch's quantiles; ratios below LEAST count as zero, which bounds the buckets of a metric to some 1,500.
+ERROR = 0.005
+LEAST = 1e-4
 MIN_GROUP = 100
 #: The fences are broadcast up to so many groups (five doubles each); beyond it the join is salted.
 BROADCAST_GROUPS = 20_000
@@ -80,26 +85,51 @@ def with_metrics(stats: DataFrame) -> DataFrame:
     )
 
 
+def bucket(x):
+    """Bucket of a value: the power of its relative width that reaches it; null for zero."""
+    return F.when(x >= LEAST, F.ceil(F.log(x) / math.log((1 + ERROR) / (1 - ERROR))).cast("int"))
+
+
+def bucket_value(b):
+    """The value within ERROR of all of a bucket's."""
+    base = (1 + ERROR) / (1 - ERROR)
+    return F.coalesce(F.pow(F.lit(base), b) * (2 / (base + 1)), F.lit(0.0))
+
+
+def sketches(metrics: DataFrame, groups: tuple[str, str]) -> DataFrame:
+    """(groups, metric, bucket, n): the sketches of every group."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS])).alias("e")
+    return metrics.where("n_words > 0").select(*groups, each).select(*groups, "e.*").groupBy(*groups, "metric", "bucket").agg(F.count("*").alias("n"))
+
+
+def quartiles(sketch: DataFrame, *groups: str) -> DataFrame:
+    """One row per group: n, and lower and upper quartile of every metric as struct (lo, hi)."""
+    w = Window.partitionBy(*groups, "metric")
+    ranked = sketch.withColumn("upto", F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("all", F.sum("n").over(w)).withColumn("value", bucket_value(F.col("bucket")))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("value")))
+    one = ranked.groupBy(*groups, "metric").agg(F.max("all").alias("n"), F.struct(at(0.25).alias("lo"), at(0.75).alias("hi")).alias("box"))
+    return one.groupBy(*groups).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == m, F.col("box"))).alias(m) for m in METRICS])
+
+
 def fences(metrics: DataFrame, groups: tuple[str, str] = ("_lang", "_source")) -> DataFrame:
     """One row per group: the fence of every metric, from the sketch of the smallest trusted level."""
     lang, source = groups
-    sketch = [F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(SKETCH_K)).alias(m) for m in METRICS]
-    fine = metrics.where("n_words > 0").groupBy(lang, source).agg(F.count("*").alias("n"), *sketch)
-    fine = materialise(fine, "sketches")
-    merged = [F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in METRICS]
-    mid = fine.groupBy(lang).agg(F.sum("n").alias("n"), *merged)
-    top = fine.agg(F.sum("n").alias("n"), *merged)
+    fine = materialise(sketches(metrics, groups), "sketches")
+    total = F.sum("n").alias("n")
+    mid = fine.groupBy(lang, "metric", "bucket").agg(total)
+    top = mid.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
 
     def named(df: DataFrame, p: str, *key: str) -> DataFrame:
         return df.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in ("n", *METRICS)])
 
-    j = named(fine, "f", lang, source).join(named(mid, "m", lang), lang).crossJoin(F.broadcast(named(top, "t")))
+    levels = named(quartiles(fine, lang, source), "f", lang, source).join(named(quartiles(mid, lang), "m", lang), lang)
+    j = levels.crossJoin(F.broadcast(named(quartiles(top), "t")))
     out = [F.col(lang), F.col(source)]
     for m in METRICS:
         k = F.when(F.col("f_n") >= MIN_GROUP, F.col(f"f_{m}")).when(F.col("m_n") >= MIN_GROUP, F.col(f"m_{m}")).otherwise(F.col(f"t_{m}"))
-        lo, hi = F.kll_sketch_get_quantile_double(k, F.lit(0.25)), F.kll_sketch_get_quantile_double(k, F.lit(0.75))
-        box = F.greatest(hi - lo, F.lit(LEAST_BOX[m]))
-        out += [(hi + FENCE * box).alias(f"{m}_hi"), (lo - FENCE * box).alias(f"{m}_lo")]
+        box = F.greatest(k["hi"] - k["lo"], F.lit(LEAST_BOX[m]))
+        out += [(k["hi"] + FENCE * box).alias(f"{m}_hi"), (k["lo"] - FENCE * box).alias(f"{m}_lo")]
     return j.select(*out)
 
 
