@@ -9,7 +9,8 @@ of languages only. Counts cover all training rows.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; with no training rows
 every text is ``und``; ties go to the language first in alphabetical order; repeated rows each get
-their row; extra columns are ignored.
+their row; an empty table gives an empty result; texts of any length are decoded whole, those longer
+than a slice alone; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,12 @@ _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
 _CLEAN[0x41:0x5B] = np.arange(0x61, 0x7B)
 _CLEAN[0x80:] = np.arange(0x80, 256)
 _LETTER = re.compile(r"[^\W\d_]")
-_MARKS = re.compile("[\u0080-\u00bf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f]+")
+#: What stands between words, of the ranges of Latin-1 and general punctuation, symbols and CJK marks: all but their letters.
+_MARKS = re.compile("[" + "".join(chr(c) for lo, hi in ((0x80, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x2BFF), (0x3000, 0x303F)) for c in range(lo, hi + 1) if not chr(c).isalpha()) + "]+")
+
+
+def has_letter(t: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(t))
 
 
 def slices(texts: list[str]):
@@ -156,7 +162,7 @@ def label_texts(texts: list[str], model) -> list[tuple[str, float, list[tuple[st
         got = viterbi(emit, per)
         end = np.cumsum(per)
         for t, b, e in zip(part, end - per, end):
-            if b == e or not _LETTER.search(t):
+            if b == e or not has_letter(t):
                 done.append(("und", 0.0, []))
                 continue
             w = np.bincount(got[b:e], weights=size[b:e], minlength=len(langs))
