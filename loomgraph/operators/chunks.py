@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,19 +101,57 @@ def cosine(a, b):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Queries are broadcast up to this count (64 floats each: a few MB); more are taken in turns by the caller.
-QUERY_LIMIT = 10_000
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(q, id, similarity): the k most similar vectors of each stated query; partial ranks are cut inside partitions first."""
-    if queries.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
-        raise ValueError("take the queries in turns")
-    q = F.broadcast(queries.select(F.col("id").alias("q"), F.col("v").alias("qv")))
-    j = vectors.join(q, F.col("id") != F.col("q")).select("q", "id", F.round(cosine(F.col("v"), F.col("qv")), 6).alias("similarity"), F.spark_partition_id().alias("p"))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "id"))
-    part = j.withColumn("n", rank("q", "p")).where(F.col("n") <= k)
-    return part.withColumn("n", rank("q")).where(F.col("n") <= k).select("q", "id", "similarity")
+#: Queries of one pass over the vectors: with 64 floats each a few MB are broadcast, and a task keeps k results of each.
+QUERY_BLOCK = 10_000
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, k: int, kind):
+    """Arrow batches (id, v) to rows (q, id, similarity): the k best of the task for each query, ties by id."""
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+
+    def run(batches):
+        best = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.array(b.column(1).to_pylist(), np.float64)
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = np.round(unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
+            sim[ids[:, None] == own[None, :]] = -np.inf
+            name = np.broadcast_to(own, sim.shape)
+            if best is not None:
+                sim, name = np.concatenate([best[0], sim], 1), np.concatenate([best[1], name], 1)
+            order = np.lexsort((name, -sim), axis=1)[:, :k]
+            best = np.take_along_axis(sim, order, 1), np.take_along_axis(name, order, 1)
+        if best is not None:
+            ok = np.isfinite(best[0])
+            at = np.repeat(np.arange(len(ids)), ok.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]).cast(kind), pa.array(best[1][ok]).cast(kind), pa.array(best[0][ok])], names=["q", "id", "similarity"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(q, id, similarity): the k most similar other vectors of each stated query, by matrix products.
+
+    Queries go in blocks, one pass over the vectors each; a task sends its k best a query, so what is
+    shuffled grows with tasks and queries and not with the vectors. Ids are numbers.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = vectors.schema["id"].dataType
+    n = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(n):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).select("id", "v").toArrow()
+        if not rows.num_rows and n > 1:
+            continue
+        q = np.array(rows.column("v").to_pylist(), np.float64).reshape(rows.num_rows, -1)
+        part = vectors.select("id", "v").mapInArrow(_nearest(rows.column("id").to_numpy(), q, k, to_arrow_type(kind)), f"q {kind.simpleString()}, id {kind.simpleString()}, similarity double")
+        out = part if out is None else out.union(part)
+    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("q", "id", "similarity")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -26,19 +26,37 @@ def similarity(a: str, b: str):
     return F.when(same("name") | same("symbol"), 1.0).when(weight > 0, total / weight).otherwise(0.0)
 
 
-def pairs(concepts: DataFrame, threshold: float = THRESHOLD, typed: bool = False, common: int = 1000) -> DataFrame:
-    """(a, b, similarity) of a < b at the threshold or above.
+def _candidates(concepts: DataFrame, least: float) -> DataFrame:
+    """(x, y) of x < y that may have a similarity of ``least``; no other pair has.
 
-    Candidates share a blocking key: the squashed name or symbol, or a word of the name that fewer
-    than ``common`` concepts hold. (A similarity of 0.85 without any shared name word needs both
-    names empty of words; such records block on a word of their description.)
+    Equal names or symbols meet by their text. Else let f be the heaviest field that both have: with all
+    lighter fields equal, the Jaccard of f must still be 1 - (1 - least) W / w, W the weight from f on. Two
+    word sets of that Jaccard share one of the rarest words of both (prefixes), so frequent words make no pairs.
     """
-    text = F.when(N.squash(F.col("name")) != "", F.col("name")).otherwise(F.col("description"))
-    keys = F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("n "), N.squash(F.col("name"))), F.when(F.coalesce("symbol", F.lit("")) != "", F.concat(F.lit("s "), N.squash(F.col("symbol"))))), F.transform(N.word_set(text), lambda w: F.concat(F.lit("w "), w)))))
-    k = concepts.select("id", F.explode(keys).alias("k"))
-    rare = k.groupBy("k").agg(F.count("*").alias("m")).where((F.col("m") > 1) & ((F.col("m") < common) | ~F.startswith("k", F.lit("w ")))).select("k")
-    k = k.join(rare, "k")
-    cand = k.select("k", F.col("id").alias("x")).join(k.select("k", F.col("id").alias("y")), "k").where("x < y").select("x", "y").distinct()
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    equal = None
+    for c in ("name", "symbol"):
+        one = concepts.where(text(c) != "").select("id", F.concat(F.lit(f"{c} "), N.squash(F.col(c))).alias("k"))
+        equal = one if equal is None else equal.union(one)
+    need = {c: 1 - (1 - least) * sum(w for _, w in WEIGHTS[i:]) / WEIGHTS[i][1] for i, (c, _) in enumerate(WEIGHTS)}
+    sets = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), N.word_set(F.col(c)).alias("ws"), F.lit(t).alias("t")) for c, t in need.items()])).alias("s")
+    words = concepts.select("id", sets).select("id", "s.f", "s.t", F.size("s.ws").alias("n"), F.explode("s.ws").alias("w"))
+    words = words.join(words.groupBy("f", "w").agg(F.count("*").alias("m")).where("m > 1"), ["f", "w"])
+    rank = Window.partitionBy("id", "f").orderBy("m", "w")
+    # Words that one record alone has come first in its order, and are not seen here.
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id", "f"))
+    prefix = F.col("n") - F.ceil(F.col("n") * F.col("t") - 1e-9) + 1
+    words = words.withColumn("at", alone + F.row_number().over(rank)).where(F.col("at") <= prefix).withColumn("k", F.concat("f", F.lit(":"), "w"))
+    sized = words.select("id", "k", "n", "t")
+    other = sized.select(F.col("id").alias("y"), "k", F.col("n").alias("ny"))
+    near = sized.join(other, "k").where((F.col("id") < F.col("y")) & (F.least("n", "ny") >= F.greatest("n", "ny") * F.col("t") - 1e-9)).select(F.col("id").alias("x"), "y")
+    same = equal.select("k", F.col("id").alias("x")).join(equal.select("k", F.col("id").alias("y")), "k").where("x < y").select("x", "y")
+    return near.union(same).distinct()
+
+
+def pairs(concepts: DataFrame, threshold: float = THRESHOLD, typed: bool = False) -> DataFrame:
+    """(a, b, similarity) of a < b at the threshold or above; all of them."""
+    cand = _candidates(concepts, threshold / 1.05 if typed else threshold)
     j = cand.join(concepts.alias("a"), F.col("x") == F.col("a.id")).join(concepts.alias("b"), F.col("y") == F.col("b.id"))
     s = similarity("a", "b")
     if typed:

@@ -99,10 +99,13 @@ def lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def math_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Lines scored as mathematics, with the lines around them and their group."""
-    w = Window.partitionBy(*keep).orderBy("line")
-    d = lines(df, text, *keep).withColumns({"before": F.lag("body").over(w), "after": F.lead("body").over(w)})
-    return d.withColumn("score", M.line_score(F.col("body"))).where("score >= 3").withColumn("grp", M.semantic_group(F.col("body")))
+    """Lines scored as mathematics, with their offset, the lines around them and their group; all inside the row, no shuffle."""
+    d = df.select(*keep, F.split(text, "\n").alias("_l"))
+    scored = F.transform("_l", lambda b, i: F.struct(i.alias("line"), b.alias("body"), M.line_score(b).alias("score")))
+    d = d.select(*keep, "_l", F.explode(F.filter(scored, lambda x: x["score"] >= 3)).alias("h"))
+    i = F.col("h.line")
+    start = F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice("_l", F.lit(1), i), "\n")) + 1).cast("long")
+    return d.select(*keep, i.alias("line"), F.col("h.body").alias("body"), start.alias("start"), F.get("_l", i - 1).alias("before"), F.get("_l", i + 1).alias("after"), F.col("h.score").alias("score"), M.semantic_group(F.col("h.body")).alias("grp"))
 
 
 def line_pairs(df: DataFrame, text: str, *keep: str) -> DataFrame:

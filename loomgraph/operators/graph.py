@@ -112,11 +112,38 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
         lab = new.select("id", "c")
 
 
-def strong_components(edges: DataFrame, depth: int) -> DataFrame:
-    """(id, component) of mutual reachability within ``depth`` steps; exact where no shortest path is longer."""
-    v = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    r = reach(edges.select("src", "dst").distinct(), v.select(F.col("id").alias("root"), "id"), depth).select("root", "id")
-    return r.join(r.select(F.col("root").alias("id"), F.col("id").alias("root")), ["root", "id"]).groupBy(F.col("root").alias("id")).agg(F.min("id").alias("component"))
+def _least_reaching(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, c): the least vertex from which each one can be reached, itself included; labels spread until none changes."""
+    lab = cut(vertices.select("id", F.col("id").alias("c")))
+    while True:
+        near = edges.join(lab.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("n"))
+        new = cut(lab.join(near, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("n", "c")).alias("c")))
+        lab = new.select("id", "c")
+        if not new.where("old <> c").limit(1).count():
+            return lab
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): vertices that reach each other, named by the least of them.
+
+    Colouring: a vertex takes the least vertex that reaches it as colour; what reaches that vertex back inside
+    its colour is its component and leaves, and the rest is coloured again. No pairs of vertices are made.
+    """
+    rest = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    out = None
+    while True:
+        colour = _least_reaching(left, rest)
+        of = lambda end, name: colour.select(F.col("id").alias(end), F.col("c").alias(name))
+        inside = cut(rest.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a = b").select("src", "dst"))
+        # Turned round, so that the colour's own vertex is the least that reaches.
+        back = _least_reaching(left, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("c", "r")
+        done = cut(colour.join(back, "id").where("c = r").select("id", F.col("c").alias("component")))
+        out = done if out is None else out.union(done)
+        left = cut(left.join(done.select("id"), "id", "left_anti"))
+        if not left.limit(1).count():
+            return out
+        rest = cut(inside.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
 
 
 def metrics(edges: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ QUERIES = {
     "degree_centrality": (lambda s, d: G.centrality(edges(s, d)), f"SELECT id, degree, round(degree / ((SELECT count(*) FROM {DEG.format(e=EDGES_SQL)}) - 1.0), 6)::DOUBLE AS centrality FROM {DEG.format(e=EDGES_SQL)} ORDER BY degree DESC, id LIMIT 10"),
     "graph_metrics": (lambda s, d: G.metrics(frame(s, SMALL)), f"SELECT n, m, round(2.0 * m / n, 6)::DOUBLE AS avg_degree, round(m::DOUBLE / (n * (n - 1)), 9)::DOUBLE AS density, round(c, 6)::DOUBLE AS avg_confidence, weak FROM (SELECT count(*) AS n FROM {DEG.format(e=SMALL)}), (SELECT count(*) AS m, avg(c) AS c FROM (SELECT max(confidence) AS c FROM {SMALL} GROUP BY src, dst)), (SELECT count(DISTINCT component) AS weak FROM ({COMP.format(e=SMALL)}))"),
     "components": (lambda s, d: G.components(frame(s, SMALL)), COMP.format(e=SMALL)),
-    "strong_components": (lambda s, d: G.strong_components(frame(s, SMALL), 7), f"WITH RECURSIVE r(root, id) AS (SELECT v, v FROM (SELECT src AS v FROM {SMALL} UNION SELECT dst FROM {SMALL}) UNION SELECT r.root, e.dst FROM r JOIN {SMALL.replace('AS t(', 'AS e(')} ON r.id = e.src) SELECT a.root AS id, min(a.id) AS component FROM r a JOIN r b ON a.root = b.id AND a.id = b.root GROUP BY a.root"),
+    "strong_components": (lambda s, d: G.strong_components(frame(s, SMALL)), f"WITH RECURSIVE r(root, id) AS (SELECT v, v FROM (SELECT src AS v FROM {SMALL} UNION SELECT dst FROM {SMALL}) UNION SELECT r.root, e.dst FROM r JOIN {SMALL.replace('AS t(', 'AS e(')} ON r.id = e.src) SELECT a.root AS id, min(a.id) AS component FROM r a JOIN r b ON a.root = b.id AND a.id = b.root GROUP BY a.root"),
     "relation_filter": (lambda s, d: G.structural_filter(frame(s, SMALL)), f"SELECT t.* FROM {SMALL} JOIN {DEG.format(e=SMALL)} x ON x.id = src JOIN {DEG.format(e=SMALL)} y ON y.id = dst WHERE confidence >= 0.5 OR (x.degree >= 2 AND y.degree >= 2 AND EXISTS (SELECT 1 FROM {SMALL.replace('AS t(', 'AS p(')} JOIN {SMALL.replace('AS t(', 'AS q(')} ON p.dst = q.dst WHERE p.src = t.src AND q.src = t.dst))"),
     "cooccurrence_w10": (lambda s, d: X.cooccurrence(table(s, d, "documents"), "doc_id", "text", VOCAB, 10), CO.format(t=TOKENS_SQL, w=10, v=", ".join(repr(v) for v in VOCAB))),
     "cooccurrence_w20": (lambda s, d: X.cooccurrence(table(s, d, "documents"), "doc_id", "text", ["der", "die", "und", "les", "que"], 20), CO.format(t=TOKENS_SQL, w=20, v="'der', 'die', 'und', 'les', 'que'")),
