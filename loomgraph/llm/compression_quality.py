@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import crc_mod, table
 
 SAMPLE = 1500
+#: Longer texts are scored but not fitted, so that what the driver holds is bounded in bytes, too.
+LONGEST = 20_000
 DICT_BYTES = 112_640
 CHUNK = 400
 LEVEL = 3
@@ -84,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     prior = n1 / n if n else 0.5
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE) for y in (0, 1)]
     chosen = picked[0].union(picked[1])
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").collect()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= LONGEST).join(F.broadcast(chosen), "k").dropDuplicates(["k", "t"]).collect()
     seen: dict = {}
     for r in rows:
         seen[(r["k"], r["t"])] = r["y"]
