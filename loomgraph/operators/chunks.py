@@ -145,11 +145,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLO
     out = None
     for i in range(n):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).select("id", "v").toArrow()
-        if not rows.num_rows and n > 1:
+        if not rows.num_rows:
             continue
         q = np.array(rows.column("v").to_pylist(), np.float64).reshape(rows.num_rows, -1)
         part = vectors.select("id", "v").mapInArrow(_nearest(rows.column("id").to_numpy(), q, k, to_arrow_type(kind)), f"q {kind.simpleString()}, id {kind.simpleString()}, similarity double")
         out = part if out is None else out.union(part)
+    if out is None:  # no query
+        return vectors.limit(0).select(F.col("id").alias("q"), "id", F.lit(0.0).alias("similarity"))
     w = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
     return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("q", "id", "similarity")
 
