@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import composed, extraction, graphs, operations, search, sources
+from loomgraph.plans import composed, extraction, graphs, operations, search, sources, views
 
-MODULES = (search, graphs, extraction, composed, sources, operations)
+MODULES = (search, graphs, extraction, composed, sources, operations, views)
 
 
 def queries() -> dict:

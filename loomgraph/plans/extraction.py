@@ -106,7 +106,6 @@ QUERIES = {
     "lexicon_finance": (lambda s, d: X.lexicon_concepts(frame(s, SAID), "text", X.LEXICON, "doc_id"), "SELECT doc_id, type, name, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, replace(lower(unnest(regexp_extract_all(text, '{p}', 1))), ' ', '_') AS name FROM {SAID}" for k, p in X.LEXICON.items()) + ") GROUP BY ALL"),
     "explicit_relations": (lambda s, d: X.relations(frame(s, SAID), "text", "doc_id"), RELS),
     "equation_relations": (lambda s, d: X.equation_relations(frame(s, SAID), "text", "doc_id"), f"SELECT DISTINCT doc_id, a AS src, v AS dst FROM (SELECT doc_id, a, unnest(regexp_extract_all(b, '{X.WORD}')) AS v FROM ({TWO.format(k='doc_id', c='text', p=X.EQUATION, t=SAID)})) WHERE a <> v"),
-    "relation_candidates": (lambda s, d: frame(s, CAND).groupBy("src", "dst", "type").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")), f"SELECT src, dst, type, count(*) AS n, max(confidence) AS confidence FROM {CAND} GROUP BY ALL"),
     "relation_scores": (lambda s, d: X.score_relations(frame(s, CAND), GROUPS), f"""WITH c AS (SELECT src, dst, type, max(confidence) AS base, max(CASE method WHEN 'math' THEN 1.0 WHEN 'semantic' THEN 0.8 WHEN 'regex' THEN 0.6 WHEN 'context' THEN 0.4 ELSE 0.3 END) AS how, count(*) AS n,
  least(1.0, sum(CASE WHEN method = 'math' THEN 0.5 ELSE 0.0 END + CASE WHEN {has('[=+*/^-]', 'context')} THEN 0.3 ELSE 0.0 END + CASE WHEN {has('[∑∏∫∂]', 'context')} THEN 0.4 ELSE 0.0 END)) AS maths, min(src_type) AS st, min(dst_type) AS dt, {GSQL.format(c='src')} AS g1, {GSQL.format(c='dst')} AS g2 FROM {CAND} GROUP BY src, dst, type)
 SELECT src, dst, type, n, {TOTAL} AS total, CASE WHEN {TOTAL} >= 0.9 THEN 'very_strong' WHEN {TOTAL} >= 0.7 THEN 'strong' WHEN {TOTAL} >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM c WHERE {TOTAL} >= 0.3"""),

@@ -35,7 +35,6 @@ def cooccurrence_graph(spark, d):
 QUERIES = {
     "neighbors": (lambda s, d: G.related(edges(s, d), vertices(s, d), "n3"), f"SELECT e.id, v.name, e.direction, e.type, e.confidence FROM (SELECT dst AS id, 'outgoing' AS direction, type, confidence FROM {EDGES_SQL} WHERE src = 'n3' UNION ALL SELECT src, 'incoming', type, confidence FROM {EDGES_SQL} WHERE dst = 'n3' AND src <> 'n3') e JOIN {VERTICES_SQL} v USING (id)"),
     "related_directed": (lambda s, d: G.related(edges(s, d), vertices(s, d), "r1", "part_of").where("direction = 'incoming'").select("id", "name"), f"SELECT id, name FROM {VERTICES_SQL} JOIN {EDGES_SQL} ON id = src WHERE dst = 'r1' AND type = 'part_of'"),
-    "concept_detail": (lambda s, d: edges(s, d).where("src = 'n3' or dst = 'n3'").groupBy("type").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence")), f"SELECT type, count(*) AS n, max(confidence) AS confidence FROM {EDGES_SQL} WHERE src = 'n3' OR dst = 'n3' GROUP BY type"),
     "dependency_trace": (lambda s, d: G.related(edges(s, d), vertices(s, d), "n15", "depends_on").select("id", "name", "direction"), f"SELECT id, name, 'outgoing' AS direction FROM {EDGES_SQL} JOIN {VERTICES_SQL} ON id = dst WHERE src = 'n15' AND type = 'depends_on'"),
     "definitions": (lambda s, d: frame(s, SMALL).where("type = 'defines' and contains(dst, 'y')").select("src", "dst"), f"SELECT src, dst FROM {SMALL} WHERE type = 'defines' AND contains(dst, 'y')"),
     "valid_edges": (lambda s, d: G.valid_edges(frame(s, SMALL), s.sql("select explode(array('a', 'b', 'c', 'd')) as id")), f"SELECT * FROM {SMALL} WHERE src IN ('a', 'b', 'c', 'd') AND dst IN ('a', 'b', 'c', 'd')"),
@@ -51,8 +50,6 @@ QUERIES = {
     "cooccurrence_w10": (lambda s, d: X.cooccurrence(table(s, d, "documents"), "doc_id", "text", VOCAB, 10), CO.format(t=TOKENS_SQL, w=10, v=", ".join(repr(v) for v in VOCAB))),
     "cooccurrence_w20": (lambda s, d: X.cooccurrence(table(s, d, "documents"), "doc_id", "text", ["der", "die", "und", "les", "que"], 20), CO.format(t=TOKENS_SQL, w=20, v="'der', 'die', 'und', 'les', 'que'")),
     "cooccurrence_degrees": (lambda s, d: G.degrees(cooccurrence_graph(s, d)), f"SELECT id, count(*) AS degree FROM (SELECT unnest([a, b]) AS id FROM ({CO.format(t=TOKENS_SQL, w=10, v=', '.join(repr(v) for v in VOCAB))})) GROUP BY id"),
-    "cross_document_edges": (lambda s, d: edges(s, d).groupBy(F.substring("src", 1, 1).alias("a"), F.substring("dst", 1, 1).alias("b")).agg(F.count("*").alias("n")), f"SELECT substr(src, 1, 1) AS a, substr(dst, 1, 1) AS b, count(*) AS n FROM {EDGES_SQL} GROUP BY ALL"),
-    "graph_statistics": (lambda s, d: edges(s, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")), f"SELECT type, count(*) AS n, round(avg(confidence), 6)::DOUBLE AS confidence FROM {EDGES_SQL} GROUP BY type"),
     "export_cytoscape": (lambda s, d: G.cytoscape_edges(edges(s, d)), f"SELECT concat('edge_', src, '_', row_number() OVER (PARTITION BY src ORDER BY dst, type)) AS id, src AS source, dst AS target, CASE type WHEN 'part_of' THEN 'Part Of' WHEN 'contains' THEN 'Contains' ELSE 'Depends On' END AS label FROM {EDGES_SQL}"),
     "export_nodes": (lambda s, d: G.cytoscape_nodes(vertices(s, d).withColumn("confidence", F.lit(0.5))), f"SELECT id, CASE WHEN length(name) > 15 THEN concat(substr(name, 1, 12), '...') ELSE name END AS label, 650.0::DOUBLE AS size FROM {VERTICES_SQL}"),
     "export_graphml": (lambda s, d: graphml(edges(s, d)), f"SELECT concat('<edge source=\"', src, '\" target=\"', dst, '\" label=\"', type, '\"/>') AS value FROM {EDGES_SQL}"),

@@ -45,3 +45,14 @@ def test_nearest_vectors_in_blocks(spark):
     for block in (100, 3):
         assert sorted((x.q, x.id, round(x.similarity, 6)) for x in chunks.top_k(df, df.where("id % 7 = 0"), 4, block).collect()) == [(a, b, round(c, 6)) for a, b, c in want]
     assert chunks.top_k(df, df.limit(0), 4).count() == 0
+
+
+def test_markers_go_before_mathematical_lines(spark):
+    import re
+
+    from loomgraph.operators import views
+
+    rows = [(1, "plain words\nx_1 = a + b * c\nmore\n∑ y^2 = z - 1"), (2, "no mathematics here"), (3, "")]
+    got = {r.doc_id: r for r in views.with_markers(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1].text.split("\n")[1].startswith("[MATHREF_1_1] @") and got[1].text.split("\n")[3].startswith("[MATHREF_1_3] @") and got[1].n == 2
+    assert all(re.sub(r"\[MATHREF_[0-9_]+\] @[a-z_]+: ", "", got[i].text) == t for i, t in rows) and got[2].n == got[3].n == 0
