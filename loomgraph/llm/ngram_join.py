@@ -39,7 +39,7 @@ from loomgraph.llm.common import components, drop, handle, materialise, scan, sp
 
 RARE = 12
 CACHE_WORDS = 150_000
-#: Bits of a set's parity signature, in WIDE columns of 64.
+#: Bits of a set's parity signature, in WIDE columns of 64; sets of more tokens have a second, wider one.
 BITS = 512
 WIDE = BITS // 64
 MARKS = [f"m{i}" for i in range(WIDE)]
@@ -52,6 +52,8 @@ BLOCK = 256
 OUT_ROWS = 1 << 16
 #: Pairs of texts in one Arrow batch.
 PAIR_ROWS = 200
+#: Pairs up to which the handles of their texts are broadcast.
+FEW = 100_000
 
 
 class _Hashes(dict):
@@ -93,6 +95,15 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_bits(s: np.ndarray) -> np.ndarray | None:
+    """The signature of a set of more than ``BITS`` tokens in as many bits, to the next power of two; halves fold into half the bits."""
+    if len(s) <= BITS:
+        return None
+    m = 1 << (len(s) - 1).bit_length()
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_apart(m: int, num: int, den: int) -> int:
     """Tokens that a set of m and a similar one of at most m can differ in."""
     return 2 * m * (den - num) // (den + num)
@@ -181,17 +192,18 @@ def _chunks(rows: list[tuple[int, np.ndarray]]):
 
 def _sketch(k: int):
     """Of (h, text, id): rows (id, h, v, n, signature) of the texts, and (tok, seen) of tokens that are frequent in the task."""
-    names = ["id", "h", "v", "n", *MARKS, "tok", "seen"]
+    names = ["id", "h", "v", "n", *MARKS, "wide", "tok", "seen"]
 
     def run(batches):
         cache, seen, often, kinds = _Hashes(), np.zeros(1 << 22, np.uint16), np.zeros(0, np.uint64), None
         for b in batches:
             kinds = [b.column(2).type, b.column(0).type]
-            vs, ns, bits, hot = [], [], [], [often]
+            vs, ns, bits, wide, hot = [], [], [], [], [often]
             for s in _sets(b.column(1), k, cache):
                 vs.append(vertex(s))
                 ns.append(len(s))
                 bits.append(parity_bits(s))
+                wide.append(wide_bits(s))
                 at = (s & np.uint64(len(seen) - 1)).astype(np.int64)
                 c = seen[at]
                 seen[at] = c + (c < 65535)
@@ -199,11 +211,11 @@ def _sketch(k: int):
             often = np.unique(np.concatenate(hot))
             mark = np.array(bits, np.int64).reshape(-1, WIDE)
             none = [pa.nulls(b.num_rows, pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(vs, pa.int64()), pa.array(ns, pa.int64()), *[pa.array(mark[:, i].copy()) for i in range(WIDE)], *none], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(vs, pa.int64()), pa.array(ns, pa.int64()), *[pa.array(mark[:, i].copy()) for i in range(WIDE)], pa.array(wide, pa.list_(pa.int64())), *none], names=names)
         for lo in range(0, len(often), OUT_ROWS):
             t = often[lo : lo + OUT_ROWS]
             n = seen[(t & np.uint64(len(seen) - 1)).astype(np.int64)].astype(np.int64)
-            none = [pa.nulls(len(t), kind) for kind in (*kinds, *[pa.int64()] * (2 + WIDE))]
+            none = [pa.nulls(len(t), kind) for kind in (*kinds, *[pa.int64()] * (2 + WIDE), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array(t.view(np.int64)), pa.array(n)], names=names)
 
     return run
@@ -262,8 +274,18 @@ def _marks_fit(num: int, den: int):
     return F.expr(f"({num} + {den}) * ({d}) <= ({den} - {num}) * (na + nb)")
 
 
+def _wide_fit(num: int, den: int):
+    """The same of the wide signatures, if both have one; similar sets are of sizes in the same or neighbouring powers of two."""
+    fold = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    d = f"aggregate(zip_with({fold('awide', 'bwide')}, {fold('bwide', 'awide')}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
+    return F.expr(f"awide is null or bwide is null or ({num} + {den}) * {d} <= ({den} - {num}) * (na + nb)")
+
+
+SIGNS = (*MARKS, "wide")
+
+
 def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.select(F.col("v").alias(side), F.col("n").alias(f"n{side}"), *[F.col(m).alias(side + m) for m in MARKS])
+    return df.select(F.col("v").alias(side), F.col("n").alias(f"n{side}"), *[F.col(m).alias(side + m) for m in SIGNS])
 
 
 class Join:
@@ -273,11 +295,11 @@ class Join:
         self.k, self.num, self.den, self.temps = shingle, num, den, []
         h = handle(key, text)
         self.docs = df.select(h.alias("h"), F.col(text).alias("text"), F.col(key).alias("id"))
-        schema = f"id {df.schema[key].dataType.simpleString()}, h binary, v bigint, n bigint, {', '.join(f'{m} bigint' for m in MARKS)}, tok bigint, seen bigint"
+        schema = f"id {df.schema[key].dataType.simpleString()}, h binary, v bigint, n bigint, {', '.join(f'{m} bigint' for m in MARKS)}, wide array<bigint>, tok bigint, seen bigint"
         self.made = materialise(self.docs.mapInArrow(_sketch(shingle), schema), "sets")
         self.all = self.made.where("tok is null").select("id", "h", "v", "n")
         # One row stands for the rows of a set.
-        rep = F.min(F.struct("h", *MARKS)).alias("r")
+        rep = F.min(F.struct("h", *SIGNS)).alias("r")
         self.reps = self._keep(self.made.where("tok is null and n > 0").groupBy("v", "n").agg(rep).select("v", "n", "r.*"), "reps")
         self.marks = self.reps.drop("h")
 
@@ -341,21 +363,30 @@ class Join:
         placed = self._keep(held.join(comp, "v", "left").select("c", "v", F.coalesce("comp", "v").alias("comp")), "placed")
         mixed = placed.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
         parts = F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")
-        open_ = self._keep(placed.join(mixed.select("c", parts), "c").join(self.marks, "v"), "open")
-        at = lambda s: [F.col("comp").alias("c" + s), F.col("v").alias(s), F.col("n").alias("n" + s), *[F.col(m).alias(s + m) for m in MARKS]]
+        open_ = self._keep(placed.join(mixed.select("c", parts), "c"), "open")
+        # A pair is made at the least of its keys only: a row has its vertex's keys below its own.
+        keys = open_.groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("ks")).join(self.marks, "v")
+        open_ = self._keep(open_.join(keys, "v").withColumn("less", F.filter("ks", lambda k: k < F.col("c"))).drop("ks"), "open")
+        at = lambda s: [F.col("comp").alias("c" + s), F.col("v").alias(s), F.col("n").alias("n" + s), F.col("less").alias("less" + s), *[F.col(m).alias(s + m) for m in SIGNS]]
         x = open_.select("c", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), *at("a"))
         y = open_.select("c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *at("b"))
-        return x.join(y, ["c", "part"]).where("ca < cb").where(_sizes_fit(self.num, self.den)).where(_marks_fit(self.num, self.den)).select("a", "b").distinct()
+        fit = _sizes_fit(self.num, self.den) & _marks_fit(self.num, self.den) & _wide_fit(self.num, self.den) & ~F.arrays_overlap("lessa", "lessb")
+        return x.join(y, ["c", "part"]).where("ca < cb").where(fit).select("a", "b").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of the pairs (a, b); most texts of no pair never reach a shuffle."""
-        fit = pairs.join(_side(self.marks, "a"), "a").join(_side(self.marks, "b"), "b").where(_sizes_fit(self.num, self.den)).where(_marks_fit(self.num, self.den))
+        fit = pairs.join(_side(self.marks, "a"), "a").join(_side(self.marks, "b"), "b")
+        fit = fit.where(_sizes_fit(self.num, self.den) & _marks_fit(self.num, self.den) & _wide_fit(self.num, self.den))
         at = lambda v: self.reps.select(F.col("v").alias(v), F.col("h").alias("h" + v))
         fit = self._keep(fit.select("a", "b").join(at("a"), "a").join(at("b"), "b"), "pairs")
-        if not fit.take(1):
+        n = fit.count()
+        if not n:
             return fit.select("a", "b")
         need = fit.select(F.col("ha").alias("h")).union(fit.select("hb")).distinct()
-        got = self._scan(need, lambda batches: batches, "h binary, text string").groupBy("h").agg(F.first("text").alias("text"))
+        docs = self.docs.select("h", "text")
+        # Few handles (16 bytes each, at most twice FEW) are known to every task; of more, the id filter is.
+        some = docs.join(F.broadcast(need), "h", "left_semi") if n <= FEW else self._scan(need, lambda batches: batches, "h binary, text string")
+        got = some.groupBy("h").agg(F.first("text").alias("text"))
         two = fit.join(got.select(F.col("h").alias("hb"), F.col("text").alias("tb")), "hb")
         both = two.join(got.select(F.col("h").alias("ha"), F.col("text").alias("ta")), "ha").select("a", "b", "ta", "tb")
         return self._keep(both.mapInArrow(_similar(self.k, self.num, self.den), "a bigint, b bigint"), "links", rows=PAIR_ROWS)
