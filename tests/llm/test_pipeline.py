@@ -52,3 +52,19 @@ def test_repeated_and_missing_ids_leave_one_document_of_a_group(spark, tmp_path)
     firsts = [x for x in got if x[0] == "1"]
     assert len(firsts) == 1 and firsts[0][1].startswith(a)
     assert [x for x in got if x[0] != "1"] == sorted([("3", b), ("3", c), ("None", d), ("5", e), ("10", ""), ("10", "")])
+
+
+def test_clashing_names_repeats_and_empty_tables(spark, tmp_path):
+    documents(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "doc_id AS _h", "'a' AS _probe", "1 AS row", "text AS h", "2 AS _row", "lang AS kept", "3 AS v", "4 AS spans")
+    docs = docs.union(docs.where("doc_id = 5"))
+    want = None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = sorted(r.doc_id for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "quality rules":
+            want = got
+            assert got.count(5) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0 and want
