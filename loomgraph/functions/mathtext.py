@@ -24,6 +24,7 @@ FRACTION = r"[0-9]+/[0-9]+|[A-Za-z_][A-Za-z0-9_]*/[A-Za-z_][A-Za-z0-9_]*"
 SUBSCRIPT = r"[A-Za-z][A-Za-z0-9]*[_₀₁₂₃₄₅₆₇₈₉]"
 SUPERSCRIPT = r"[A-Za-z_][A-Za-z0-9_]*[\^⁰¹²³⁴⁵⁶⁷⁸⁹]"
 FINANCE = r"(return|variance|covariance|correlation|portfolio|sharpe|beta|alpha)"
+# Texts that are no mathematics.
 REJECT = (r"^[ \t]*[0-9]+[ \t]*$", r"^[ \t]*\[[ ]*[0-9]+[ ]*\][ \t]*$", r"^[ \t]*[A-Za-z][0-9]*[ \t]*$", r"^[ \t]*[0-9]+\.[ \t]*[A-Z][A-Za-z ]+$", r"(page|section|chapter|figure|table|equation|example)[ ]+[0-9]+", r"^[A-Z]{2,5}$", r"[0-9]{1,2}:[0-9]{2}", r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}")
 
 
@@ -86,6 +87,7 @@ def improved_score(c: Column) -> Column:
     return F.when(rejected(c), 0.0).otherwise(s + yes(F.contains(c, F.lit("\n")), 1))
 
 
+# Shapes of mathematical lines on a page.
 LINE_PATTERNS = (
     r"[a-z][ ]*=[ ]*[a-z0-9()+*/^ -]+", r"[a-z][ ]*[+-][ ]*[a-z]", r"[a-z][0-9]*[ ]*[*/][ ]*[a-z][0-9]*", r"[a-z][0-9]+", r"[a-z]\^[0-9]+", r"\([a-z0-9+*/ -]+\)",
     r"[0-9]+/[0-9]+", r"[a-z][ ]*=[ ]*", r"[a-z]_[0-9a-z]+", r"\\[a-z]+", r"portfolio|return|variance|covariance|optim", r"sum|maximum|minimum|expected|mean",
@@ -150,27 +152,39 @@ def to_latex(c: Column) -> Column:
     return F.when(wrap, F.concat(F.lit("$"), out, F.lit("$"))).otherwise(out)
 
 
+# Phrases of complexity levels and domains, mathematical signs of levels. White space is
+# written out as the characters that all engines take for it; nothing else differs from the usual lists.
 LEVELS = {
-    "beginner": (r"introduction to|basic|fundamental|elementary|simple", r"primer|overview|getting started", r"introductory"),
-    "intermediate": (r"intermediate|moderate|standard|typical", r"application|practical|implementation", r"case study|real.world|empirical"),
-    "advanced": (r"advanced|sophisticated|complex|rigorous", r"theoretical|mathematical proof|derivation", r"research|cutting.edge|state.of.the.art", r"phd|doctoral|graduate.level"),
+    "beginner": (r"introduction[ \t\r\n\f]+to|basic|fundamental|elementary|simple", r"primer|overview|getting[ \t\r\n\f]+started|basics", r"introductory|elementary|simple[ \t\r\n\f]+example"),
+    "intermediate": (r"intermediate|moderate|standard|typical", r"application|practical|implementation", r"case[ \t\r\n\f]+study|real.world|empirical"),
+    "advanced": (r"advanced|sophisticated|complex|rigorous", r"theoretical|mathematical[ \t\r\n\f]+proof|derivation", r"research|cutting.edge|state.of.the.art", r"phd|doctoral|graduate.level"),
 }
+LEVEL_SIGNS = (
+    ("advanced", r"∫∫|∭|∂²|∇²|differential[ \t\r\n\f]+equation"),
+    ("advanced", r"eigenvalue|eigenvector|matrix[ \t\r\n\f]+inverse|determinant"),
+    ("intermediate", r"∫|∂|derivative|integral"),
+    ("intermediate", r"∑|∏|summation|product"),
+    ("beginner", r"[+\-*/=]|arithmetic|calculation"),
+)
+LEVEL_SYMBOLS = "[∫∂∑∏√±≤≥≠∞∈∉⊂⊆∪∩]"
 DOMAINS = {
-    "mathematics": (r"mathematical|theorem|proof|lemma|corollary", r"algebra|calculus|statistics|probability|geometry", r"analysis|topology|number theory"),
-    "finance": (r"financial|portfolio|investment|trading|market", r"asset|security|bond|stock|option|derivative", r"risk management|capital|banking|hedge"),
-    "economics": (r"economic|economy|econometric|microeconomic|macroeconomic", r"supply|demand|market equilibrium|elasticity", r"gdp|inflation|monetary|fiscal|policy"),
-    "statistics": (r"statistical|regression|correlation|hypothesis", r"distribution|normal|gaussian|chi.square|t.test", r"confidence interval|p.value|significance"),
-    "optimization": (r"optimization|minimize|maximize|constraint|lagrange", r"linear programming|quadratic programming|convex", r"objective function|feasible region|optimal"),
+    "mathematics": (r"mathematical|theorem|proof|lemma|corollary", r"algebra|calculus|statistics|probability|geometry", r"analysis|topology|number[ \t\r\n\f]+theory"),
+    "finance": (r"financial|portfolio|investment|trading|market", r"asset|security|bond|stock|option|derivative", r"risk[ \t\r\n\f]+management|capital|banking|hedge"),
+    "economics": (r"economic|economy|econometric|microeconomic|macroeconomic", r"supply|demand|market[ \t\r\n\f]+equilibrium|elasticity", r"gdp|inflation|monetary|fiscal|policy"),
+    "statistics": (r"statistical|regression|correlation|hypothesis", r"distribution|normal|gaussian|chi.square|t.test", r"confidence[ \t\r\n\f]+interval|p.value|significance"),
+    "optimization": (r"optimization|minimize|maximize|constraint|lagrange", r"linear[ \t\r\n\f]+programming|quadratic[ \t\r\n\f]+programming|convex", r"objective[ \t\r\n\f]+function|feasible[ \t\r\n\f]+region|optimal"),
 }
 
 
 def level(c: Column, lexicon: dict = LEVELS) -> Column:
-    """Complexity level by counts of the lexicon's patterns, weighted mathematics, and length."""
-    low = F.lower(c)
+    """Complexity level by counts of the lexicon's phrases, mathematical signs at double weight, length, and symbols."""
+    low, symbols = F.lower(c), count(c, LEVEL_SYMBOLS)
     n = {k: sum((count(low, p) for p in ps), F.lit(0)) for k, ps in lexicon.items()}
-    n["advanced"] = n["advanced"] + 2 * count(c, "eigenvalue|eigenvector|determinant|∇") + F.when(F.length(c) > 2000, 1).otherwise(0)
-    n["intermediate"] = n["intermediate"] + 2 * count(c, "integral|summation|[∑∏∫∂]")
-    n["beginner"] = n["beginner"] + 2 * count(c, r"[+*/=-]") + F.when(F.length(c) < 500, 1).otherwise(0)
+    for k, p in LEVEL_SIGNS:
+        n[k] = n[k] + 2 * count(c, p)
+    n["advanced"] = n["advanced"] + F.when(F.length(c) > 2000, 1).otherwise(0) + F.when(symbols > 20, 2).otherwise(0)
+    n["intermediate"] = n["intermediate"] + F.when((symbols > 5) & (symbols <= 20), 1).otherwise(0)
+    n["beginner"] = n["beginner"] + F.when(F.length(c) < 500, 1).otherwise(0)
     b, i, a = n["beginner"], n["intermediate"], n["advanced"]
     return F.when((a > b) & (a > i), "advanced").when(b > i, "beginner").otherwise("intermediate")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import mathtext as M
 from loomgraph.operators import extract as X
 from loomgraph.plans.common import frame, table, values
-from loomgraph.plans.composed import maths
+from loomgraph.plans.composed import ALL_SQL, maths, texts
 
 EXPR = values("id, body", [
     (1, "E(R_p) = w μ"), (2, "σ_p = w1 + w2"), (3, "x = 3"), (4, "the portfolio return"), (5, "a/b"), (6, "3/4 of it"), (7, "matrix A"), (8, "∑ x_i"), (9, "12"), (10, "[3]"), (11, "plain words only here"),
@@ -58,11 +58,26 @@ RELS = " UNION ALL ".join([BIN.format(k=k, p=p, t=SAID) for k, p in X.RELATIONS.
 LEX = {"methodology": "(tion|ment)", "metric": "(the|que)"}
 LEXQ = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, replace(lower(unnest(regexp_extract_all(text, '{p}', 1))), ' ', '_') AS name FROM documents" for k, p in LEX.items())
 LINES = "(SELECT doc_id, CAST(line AS INT) AS line, body, CAST(coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) - 1 AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
-DOMAIN = {k: "(" + " + ".join(n(p, "lower(body)") for p in ps) + ")" for k, ps in M.DOMAINS.items()}
-LV = {k: " + ".join(n(p, "lower(body)") for p in ps) for k, ps in M.LEVELS.items()}
-LV_A = f"({LV['advanced']} + 2 * {n('eigenvalue|eigenvector|determinant|∇')} + (length(body) > 2000)::INT)"
-LV_I = f"({LV['intermediate']} + 2 * {n('integral|summation|[∑∏∫∂]')})"
-LV_B = f"({LV['beginner']} + 2 * {n('[+*/=-]')} + (length(body) < 500)::INT)"
+GAP = r"[ \t\r\n\f]+"
+LEVEL_WORDS = {
+    "b": [f"introduction{GAP}to|basic|fundamental|elementary|simple", f"primer|overview|getting{GAP}started|basics", f"introductory|elementary|simple{GAP}example"],
+    "i": ["intermediate|moderate|standard|typical", "application|practical|implementation", f"case{GAP}study|real.world|empirical"],
+    "a": ["advanced|sophisticated|complex|rigorous", f"theoretical|mathematical{GAP}proof|derivation", "research|cutting.edge|state.of.the.art", "phd|doctoral|graduate.level"],
+}
+LV = {k: " + ".join(n(p, "lower(body)") for p in ps) for k, ps in LEVEL_WORDS.items()}
+LSYM = n("[∫∂∑∏√±≤≥≠∞∈∉⊂⊆∪∩]")
+LV_A = f"({LV['a']} + 2 * {n(f'∫∫|∭|∂²|∇²|differential{GAP}equation')} + 2 * {n(f'eigenvalue|eigenvector|matrix{GAP}inverse|determinant')} + (length(body) > 2000)::INT + 2 * ({LSYM} > 20)::INT)"
+LV_I = f"({LV['i']} + 2 * {n('∫|∂|derivative|integral')} + 2 * {n('∑|∏|summation|product')} + ({LSYM} BETWEEN 6 AND 20)::INT)"
+LV_B = f"({LV['b']} + 2 * {n('[+*/=-]|arithmetic|calculation')} + (length(body) < 500)::INT)"
+CLASSED = f"(SELECT id, body FROM {CLS} UNION ALL SELECT doc_id + 1000, text FROM {ALL_SQL})"
+DOMAIN_WORDS = {
+    "mathematics": ["mathematical|theorem|proof|lemma|corollary", "algebra|calculus|statistics|probability|geometry", f"analysis|topology|number{GAP}theory"],
+    "finance": ["financial|portfolio|investment|trading|market", "asset|security|bond|stock|option|derivative", f"risk{GAP}management|capital|banking|hedge"],
+    "economics": ["economic|economy|econometric|microeconomic|macroeconomic", f"supply|demand|market{GAP}equilibrium|elasticity", "gdp|inflation|monetary|fiscal|policy"],
+    "statistics": ["statistical|regression|correlation|hypothesis", "distribution|normal|gaussian|chi.square|t.test", f"confidence{GAP}interval|p.value|significance"],
+    "optimization": ["optimization|minimize|maximize|constraint|lagrange", f"linear{GAP}programming|quadratic{GAP}programming|convex", f"objective{GAP}function|feasible{GAP}region|optimal"],
+}
+DOMAIN = {k: "(" + " + ".join(n(p, "lower(body)") for p in ps) + ")" for k, ps in DOMAIN_WORDS.items()}
 WORDS_LEVELS = {"beginner": ("the",), "intermediate": ("tion|ment",), "advanced": ("ung|heit|que",)}
 TESTLEX = {"german": ("der|die", "und"), "french": ("les", "que"), "other": ("the",)}
 TL = {k: "(" + " + ".join(n(p, "lower(text)") for p in ps) + ")" for k, ps in TESTLEX.items()}
@@ -77,6 +92,10 @@ def maths_in(s, d):
     return e(s).union(frame(s, MARKED.replace(chr(92), chr(92) * 2))).union(table(s, d, "documents").select(F.col("doc_id") + 1000, F.coalesce("text", F.lit(""))))
 
 
+def classed(s, d):
+    return frame(s, CLS).union(texts(s, d).select(F.col("doc_id") + 1000, "text"))
+
+
 def blocks(s, d):
     return X.math_lines(table(s, d, "documents"), "text", "doc_id")
 
@@ -115,7 +134,7 @@ SELECT src, dst, type, n, {TOTAL} AS total, CASE WHEN {TOTAL} >= 0.9 THEN 'very_
     "char_offsets": (lambda s, d: X.lines(table(s, d, "documents"), "text", "doc_id").select("doc_id", "line", "start"), f"SELECT doc_id, line, start FROM {LINES}"),
     "line_pairs": (lambda s, d: X.line_pairs(e(s).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "body"))), lambda x: x["body"]), "\n").alias("text"), F.lit(1).alias("doc_id")), "text", "doc_id").select("doc_id", "line"), f"SELECT doc_id, line FROM (SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM (SELECT 1 AS doc_id, CAST(id - 1 AS INT) AS line, body FROM {EXPR})) WHERE length(body) < 50 AND length(nxt) < 50 AND regexp_matches(body, '[=+-]') AND regexp_matches(nxt, '[xyrR()]')"),
     "block_links": (lambda s, d: X.block_links(e(s).select(F.lit(1).alias("doc_id"), F.col("id").alias("block"), "body", M.semantic_group(F.col("body")).alias("grp"))), f"WITH u AS (SELECT id, unnest({VARS}) AS k FROM {EXPR} UNION ALL SELECT id, concat('#', g) FROM (SELECT id, {GROUP} AS g FROM {EXPR}) WHERE g <> 'general_math') SELECT DISTINCT 1 AS doc_id, x.id AS a, y.id AS b FROM u x JOIN u y ON x.k = y.k AND x.id < y.id"),
-    "domain_class": (lambda s, d: frame(s, CLS).select("id", M.domain(F.col("body")).alias("domain")), f"SELECT id, CASE WHEN greatest({', '.join(DOMAIN.values())}) = 0 THEN 'finance' " + " ".join(f"WHEN {v} = greatest({', '.join(DOMAIN.values())}) THEN '{k}'" for k, v in DOMAIN.items()) + f" END AS domain FROM {CLS}"),
+    "domain_class": (lambda s, d: classed(s, d).select("id", M.domain(F.col("body")).alias("domain")), f"SELECT id, CASE WHEN greatest({', '.join(DOMAIN.values())}) = 0 THEN 'finance' " + " ".join(f"WHEN {v} = greatest({', '.join(DOMAIN.values())}) THEN '{k}'" for k, v in DOMAIN.items()) + f" END AS domain FROM {CLASSED}"),
     "domain_class_documents": (lambda s, d: table(s, d, "documents").select("doc_id", M.domain(F.col("text"), TESTLEX, "none").alias("domain")), f"SELECT doc_id, CASE WHEN greatest({', '.join(TL.values())}) = 0 THEN 'none' " + " ".join(f"WHEN {v} = greatest({', '.join(TL.values())}) THEN '{k}'" for k, v in TL.items()) + " END AS domain FROM documents"),
-    "complexity_level": (lambda s, d: frame(s, CLS).select("id", M.level(F.col("body")).alias("level")), f"SELECT id, CASE WHEN {LV_A} > {LV_B} AND {LV_A} > {LV_I} THEN 'advanced' WHEN {LV_B} > {LV_I} THEN 'beginner' ELSE 'intermediate' END AS level FROM {CLS}"),
+    "complexity_level": (lambda s, d: classed(s, d).select("id", M.level(F.col("body")).alias("level")), f"SELECT id, CASE WHEN {LV_A} > {LV_B} AND {LV_A} > {LV_I} THEN 'advanced' WHEN {LV_B} > {LV_I} THEN 'beginner' ELSE 'intermediate' END AS level FROM {CLASSED}"),
 }

@@ -81,6 +81,7 @@ def detect(content: Column, path: Column | None = None, least: int = 2) -> Colum
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv]), ext), by_text)
 
 
+# Commands whose text stays, and headings with the name they get.
 LATEX_COMMANDS = [(rf"\\(?:textbf|textit|emph|texttt|underline)\{{([^}}]+)\}}", "$1")] + [(rf"\\{c}\{{([^}}]+)\}}", f"{p}{c.upper()}: $1\n") for c, p in (("title", ""), ("author", ""), ("date", ""), ("chapter", "\n\n"), ("section", "\n\n"), ("subsection", "\n\n"), ("subsubsection", "\n\n"), ("paragraph", "\n\n"))]
 
 
