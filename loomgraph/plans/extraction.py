@@ -43,7 +43,7 @@ REJECTED = f"({hits(M.REJECT)} > 0 OR length(trim(body)) < 3 OR (length(body) >
 OPS2 = n(r"[+*/^()\[\]{}|=<>≤≥≠≈±∓×÷∘-]")
 IMPROVED = f"CASE WHEN {REJECTED} THEN 0.0 ELSE " + " + ".join([
     cap(f"0.8 * {n(M.SYMBOLS)}", 4), f"CASE WHEN {hits(M.EQUATIONS)} > 0 THEN 2.0 ELSE 0.0 END", f"CASE WHEN {OPS2} >= 2 THEN least(2.0, 0.3 * {OPS2}) ELSE 0.0 END",
-    f"CASE WHEN {has(M.FINANCE + '[ ]*[=:]', 'lower(body)')} THEN 1.5 ELSE 0.0 END", f"CASE WHEN {has('[A-Z][ ]*=[ ]*' + chr(92) + '[|[∑∏∫]')} THEN 2.0 ELSE 0.0 END", cap(f"0.5 * ({n(M.SUBSCRIPT)} + {n(M.SUPERSCRIPT)})", 1.5)]) + " END"
+    f"CASE WHEN {has(M.FINANCE + '[ ]*[=:]', 'lower(body)')} THEN 1.5 ELSE 0.0 END", f"CASE WHEN {has('[A-Z][ ]*=[ ]*' + chr(92) + '[|[∑∏∫]')} THEN 2.0 ELSE 0.0 END", cap(f"0.5 * ({n(M.SUBSCRIPT)} + {n(M.SUPERSCRIPT)})", 1.5), "CASE WHEN contains(body, chr(10)) THEN 1.0 ELSE 0.0 END"]) + " END"
 CHARS = "greatest(length(replace(body, ' ', '')), 1)"
 P = hits(M.LINE_PATTERNS, "lower(body)")
 ST = "(" + " + ".join(f"contains(body, '{x}')::INT" for x in "=(+-*/^_") + ")"
@@ -111,12 +111,12 @@ TOTAL = f"round(0.25 * base + 0.2 * how + 0.15 * least(1.0, 0.2 * n) + 0.2 * {SI
 
 QUERIES = {
     "math_score": (lambda s, d: maths_in(s, d).select("id", F.round(M.score(F.col("body")), 6).alias("score"), F.round(M.confidence(M.score(F.col("body"))), 6).alias("confidence")), f"SELECT id, round({maths('body')}, 6)::DOUBLE AS score, round(least(1.0, ({maths('body')}) / 18), 6)::DOUBLE AS confidence FROM {MATHS_IN}"),
-    "improved_math_score": (lambda s, d: e(s).select("id", F.round(M.improved_score(F.col("body")), 6).alias("score"), M.rejected(F.col("body")).alias("rejected")), f"SELECT id, round({IMPROVED}, 6)::DOUBLE AS score, {REJECTED} AS rejected FROM {EXPR}"),
-    "pdf_line_score": (lambda s, d: e(s).select("id", M.line_score(F.col("body")).alias("score")), f"SELECT id, {LINE} AS score FROM {EXPR}"),
-    "semantic_group": (lambda s, d: e(s).select("id", M.semantic_group(F.col("body")).alias("grp")), f"SELECT id, {GROUP} AS grp FROM {EXPR}"),
+    "improved_math_score": (lambda s, d: maths_in(s, d).select("id", F.round(M.improved_score(F.col("body")), 6).alias("score"), M.rejected(F.col("body")).alias("rejected")), f"SELECT id, round({IMPROVED}, 6)::DOUBLE AS score, {REJECTED} AS rejected FROM {MATHS_IN}"),
+    "pdf_line_score": (lambda s, d: maths_in(s, d).select("id", M.line_score(F.col("body")).alias("score")), f"SELECT id, {LINE} AS score FROM {MATHS_IN}"),
+    "semantic_group": (lambda s, d: maths_in(s, d).select("id", M.semantic_group(F.col("body")).alias("grp")), f"SELECT id, {GROUP} AS grp FROM {MATHS_IN}"),
     "semantic_group_counts": (lambda s, d: blocks(s, d).groupBy("grp").agg(F.count("*").alias("n")), f"SELECT {GROUP} AS grp, count(*) AS n FROM {LINES} WHERE {LINE} >= 3 GROUP BY 1"),
-    "variables": (lambda s, d: e(s).select("id", F.array_join(M.variables(F.col("body")), ",").alias("vars")), f"SELECT id, array_to_string({VARS}, ',') AS vars FROM {EXPR}"),
-    "math_complexity": (lambda s, d: e(s).select("id", M.complexity(F.col("body")).alias("complexity")), f"SELECT id, {CPX} AS complexity FROM {EXPR}"),
+    "variables": (lambda s, d: maths_in(s, d).select("id", F.array_join(M.variables(F.col("body")), ",").alias("vars")), f"SELECT id, array_to_string({VARS}, ',') AS vars FROM {MATHS_IN}"),
+    "math_complexity": (lambda s, d: maths_in(s, d).select("id", M.complexity(F.col("body")).alias("complexity")), f"SELECT id, {CPX} AS complexity FROM {MATHS_IN}"),
     "latex_convert": (lambda s, d: e(s).select("id", M.to_latex(F.col("body")).alias("latex")), None),
     "equations": (lambda s, d: X.equations(table(s, d, "documents"), "text", "doc_id"), TWO.format(k="doc_id", c="text", p=X.EQUATION, t="documents")),
     "variable_definitions": (lambda s, d: X.pairs(frame(s, SAID), "text", X.DEFINITION, "doc_id"), TWO.format(k="doc_id", c="text", p=X.DEFINITION, t=SAID)),
