@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import shared_folder
 from loomgraph.operators import cache as K
 from loomgraph.operators import dedup as D
 from loomgraph.operators import enrich as J
@@ -57,7 +57,7 @@ def merged(s):
 def stream_debounce(s, d):
     """The streaming debouncer run to its end over the event table."""
     schema = events(s, d).schema
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-")
+    root = shared_folder(s)
     import uuid
 
     name = f"debounced_{uuid.uuid4().hex}"
@@ -71,7 +71,7 @@ def stream_upsert(s, d):
     """Two batches of documents, the second replacing some of the first, through the foreachBatch writer."""
     import uuid
 
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-")
+    root = shared_folder(s)
     target = f"{root}/upsert_{uuid.uuid4().hex}"
     old, new = versions(s, d)
     run = L.upsert_batch(target, "doc_id")
@@ -81,7 +81,20 @@ def stream_upsert(s, d):
 
 
 BEST = "(VALUES (1, 'd1'), (2, 'd2'), (3, 'd4')) AS m(id, ext_id)"
+#: Parts as concepts; the SQL compares all pairs.
+PART_WORDS = "list_distinct(list_filter(string_split(lower({c}), ' '), lambda x: x <> ''))"
+PART_JACCARD = "len(list_intersect(a.{c}, b.{c}))::DOUBLE / len(list_distinct(list_concat(a.{c}, b.{c})))"
+PART_PAIRS = f"""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS name, {PART_WORDS.format(c='p_name')} AS n, {PART_WORDS.format(c="concat(p_type, ' ', p_brand)")} AS d FROM part),
+ s AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.name = b.name THEN 1.0 ELSE (0.4 * {PART_JACCARD.format(c='n')} + 0.2 * {PART_JACCARD.format(c='d')}) / (0.4 + 0.2) END AS x FROM p a JOIN p b ON a.id < b.id) SELECT a, b, round(x, 6)::DOUBLE AS similarity FROM s WHERE round(x, 6) >= 0.7"""
+
+
+def part_concepts(s, d):
+    none = F.lit(None).cast("string")
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), none.alias("symbol"), F.concat_ws(" ", "p_type", "p_brand").alias("description"), none.alias("definition"), F.lit("pdf").alias("doc_type"))
+
+
 QUERIES = {
+    "dedup_parts": (lambda s, d: D.pairs(part_concepts(s, d), 0.7), PART_PAIRS),
     "dedup_pairs": (lambda s, d: D.pairs(frame(s, DUP), 0.8), "SELECT * FROM (VALUES (1, 2, 1.0::DOUBLE), (3, 4, 1.0::DOUBLE), (6, 7, 0.875::DOUBLE)) AS t(a, b, similarity)"),
     "dedup_typed": (lambda s, d: D.pairs(frame(s, DUP), 0.85, typed=True), "SELECT * FROM (VALUES (1, 2, 0.95::DOUBLE), (3, 4, 0.95::DOUBLE)) AS t(a, b, similarity)"),
     "dedup_groups": (lambda s, d: merged(s)[1], "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6)) AS t(id, grp)"),

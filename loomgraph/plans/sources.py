@@ -15,7 +15,7 @@ XML = values("id, text", [(1, "<?xml version=1?><root><concept type=metric><name
 MML = values("id, text", [(1, "<math><mfrac><mi>a</mi><mi>b</mi></mfrac></math>"), (2, "<math><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><msub><mi>y</mi><mi>i</mi></msub></math>"), (3, "<mi>z</mi>")])
 FILES = values("path, title, subject", [("/d/Markowitz_1952 (copy).pdf", "doi:10.1111/j.1540-6261.1952.tb01525.x", ""), ("/d/sub/Sharpe_Ratio_1966.html", "", "see 10.2307/2351741 there"), ("notes.tex", "", ""), ("/x/Old2020Report.docx", "none", "none")])
 MARK = values("id, body", [(1, "see [MATHREF_b1] @portfolio_theory: and [MATHREF_b2] @ratio:"), (2, "plain"), (3, "[MATHREF_z9] only")])
-TAGS = [r"<!--[\s\S]*?-->", *[rf"(?i)<{t}[ >][\s\S]*?</{t}>" for t in H.DROPPED], r"(?i)<(?:div|section) (?:class|id)=.(?:advertisement|ads?|sidebar|navigation|banner).[^>]*>[\s\S]*?</(?:div|section)>"]
+TAGS = [r"<!--[\s\S]*?-->", *[rf"(?i)<{t}[ >][\s\S]*?</{t}>" for t in H.DROPPED], r"(?i)<(?:div|section)[ ](?:[^>]*[ ])?(?:class|id)=[\x22\x27](?:[^\x22\x27>]*[ ])?(?:advertisement|ads|ad|sidebar|navigation|banner)(?:[ ][^\x22\x27>]*)?[\x22\x27][^>]*>[\s\S]*?</(?:div|section)>"]
 
 
 def nested(c: str, subs: list[tuple[str, str]]) -> str:

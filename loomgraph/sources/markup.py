@@ -30,7 +30,9 @@ def html_text(c: Column) -> Column:
     c = sub(c, r"(?s)<!--.*?-->", "")
     for t in DROPPED:
         c = sub(c, rf"(?is)<{t}[ >].*?</{t}>", "")
-    c = sub(c, r"(?is)<(?:div|section) (?:class|id)=.(?:advertisement|ads?|sidebar|navigation|banner).[^>]*>.*?</(?:div|section)>", "")
+    # One of the names must be a whole word of the attribute's list.
+    names = "(?:advertisement|ads?|sidebar|navigation|banner)"
+    c = sub(c, rf"(?is)<(?:div|section)[ ](?:[^>]*[ ])?(?:class|id)=[\"'](?:[^\"'>]*[ ])?{names}(?:[ ][^\"'>]*)?[\"'][^>]*>.*?</(?:div|section)>", "")
     c = F.coalesce(F.nullif(F.regexp_extract(c, r"(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>", 1), F.lit("")), F.nullif(F.regexp_extract(c, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), c)
     c = sub(sub(c, r"(?i)</(?:p|div|h[1-6]|li)>|<br[^>]*>|<p>", "\n"), r"<[^>]+>", "")
     return clean_text(unescape(c))

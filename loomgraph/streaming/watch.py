@@ -7,6 +7,7 @@ timestamp a key and gives the same rows where events arrive in order.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +17,38 @@ def micros(ts: str = "ts"):
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
 
 
+def _accepted(limit: int):
+    """Arrow batches (key, burst, t, seq) in order to the accepted (key, seq); only the last accepted time is held."""
+
+    def run(batches):
+        group, last = None, 0
+        for b in batches:
+            key, burst, t = (b.column(i).to_pylist() for i in range(3))
+            ok = []
+            for k in zip(key, burst, t):
+                take = k[:2] != group or k[2] - last >= limit
+                if take:
+                    group, last = k[:2], k[2]
+                ok.append(take)
+            yield b.filter(pa.array(ok, pa.bool_())).select([0, 3])
+
+    return run
+
+
 def debounce(events: DataFrame, seconds: float, key: str = "key", seq: str = "event_id") -> DataFrame:
     """Events accepted when at least ``seconds`` have passed since the last accepted one of the key.
 
-    The decision of one event depends on the last accepted one, so each key is folded in time order.
-    Keys are cut first where a gap alone decides (every event after such a gap is accepted), which
-    bounds a fold by a burst and not by a key.
+    The decision of one event depends on the last accepted one, so events are folded in time order as they
+    stream by. A gap of that length alone decides that the next event is accepted, so a key is cut there
+    and its bursts go to different tasks; nothing of a burst is gathered.
     """
+    limit = int(seconds * 1e6)
     w = Window.partitionBy(key).orderBy("t", seq)
-    d = events.withColumn("t", micros()).withColumn("burst", F.sum(F.when(F.col("t") - F.lag("t").over(w) < int(seconds * 1e6), 0).otherwise(1)).over(w))
-    g = d.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.struct("t", seq))).alias("es"))
-    kept = F.expr(
-        f"aggregate(es, named_struct('last', cast(null as bigint), 'out', cast(array() as array<bigint>)), (a, e) -> "
-        f"case when a.last is null or e.t - a.last >= {int(seconds * 1e6)} then named_struct('last', e.t, 'out', concat(a.out, array(e.{seq}))) else a end, a -> a.out)"
-    )
-    return g.select(key, F.explode(kept).alias(seq))
+    d = events.withColumn("t", micros()).withColumn("burst", F.sum(F.when(F.col("t") - F.lag("t").over(w) < limit, 0).otherwise(1)).over(w))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.select(key, "burst", "t", seq).repartition(n, key, "burst").sortWithinPartitions(key, "burst", "t", seq)
+    kind = lambda c: events.schema[c].dataType.simpleString()
+    return d.mapInArrow(_accepted(limit), f"`{key}` {kind(key)}, `{seq}` {kind(seq)}")
 
 
 def write_complete(events: DataFrame, key: str = "key", seq: str = "event_id") -> DataFrame:
@@ -83,11 +101,11 @@ def stream_debounce(events: DataFrame, seconds: float, key: str = "key", seq: st
     def run(k, frames, state):
         last = state.get[0] if state.exists else None
         out = []
-        for pdf in frames:
-            for t, i in sorted(zip(pdf["t"], pdf[seq])):
-                if last is None or t - last >= limit:
-                    last = t
-                    out.append((k[0], i))
+        # A key's rows of a trigger come in several frames, in no order.
+        for t, i in sorted(x for pdf in frames for x in zip(pdf["t"], pdf[seq])):
+            if last is None or t - last >= limit:
+                last = t
+                out.append((k[0], i))
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=["key", "event_id"])
@@ -109,6 +127,9 @@ def upsert_batch(target: str, key: str):
         new = batch if old is None else batch.unionByName(old.join(batch.select(key).distinct(), key, "left_anti"))
         new.write.mode("overwrite").parquet(f"{target}/v{number}")
         _point(spark, target, f"v{number}")
+        fs, p, jvm = _fs(spark, f"{target}/v{number - 2}")
+        if number > 1 and fs.exists(p):  # the version before stays for those who still read it
+            fs.delete(p, True)
 
     return run
 
@@ -125,8 +146,11 @@ def _point(spark: SparkSession, target: str, version: str) -> None:
     out.writeBytes(version)
     out.close()
     to = jvm.org.apache.hadoop.fs.Path(f"{target}/CURRENT")
-    fs.delete(to, False)
-    fs.rename(p, to)
+    # One step: a reader finds the old pointer or the new one, never none.
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(p, to, how)
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
