@@ -6,8 +6,9 @@ came from. Byte-pair merges then run on the normalised text in rank order, cut f
 no vocabulary piece can span (so a cached unit always merges alike), and every piece is projected to
 its original byte span.
 
-Defined cases: null text counts as empty; empty text has no pieces and decodes to ''. Extra columns
-are ignored; repeated rows each get their row. Texts of any length are coded whole.
+Defined cases: null text counts as empty; empty text has no pieces and decodes to ''; of equally ranked
+pairs the first is merged. Extra columns are ignored; repeated rows each get their row; an empty table
+gives an empty result. Texts of any length are coded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import gc
 import hashlib
 import re
 import struct
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ SPACE = "▁"
 #: Units cached per worker; beyond it the cache starts afresh (a speed matter only).
 CACHE_UNITS = 600_000
 BATCH_ROWS = 1000
+NEVER = float("inf")  # rank of a pair that is no piece
 
 
 class CharMap:
@@ -123,14 +125,7 @@ class Codec:
         self.unit = re.compile(f"[{cls}{SPACE}]+|[^{cls}{SPACE}]") if inner else re.compile(f"{SPACE}+[{cls}]*|[{cls}]+|[^{cls}{SPACE}]")
         self.cache: dict[str, tuple] = {}
         self.width = np.array([len(o) for o in self.out], np.int64)
-        self.merger = None
-        if self.byte_id:
-            # The library's merges alone: the map, the prefix and the alignment are ours.
-            from sentencepiece import SentencePieceProcessor
-
-            spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
-            spec.name, spec.precompiled_charsmap = "identity", b""
-            self.merger = SentencePieceProcessor(model_proto=m.SerializeToString())
+        self.order = {p: o for p, (o, _) in self.rank.items()}
 
     def merge(self, unit: str) -> tuple:
         """(ids, byte lengths in the normalised text) of a unit that nothing outside can merge with."""
@@ -138,15 +133,17 @@ class Codec:
         if len(parts) > 400:
             parts = self._merge_long(parts)
         else:
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = rank.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r[0] < best):
-                        best, at = r[0], i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            # The first of the best pairs is merged, and the pairs beside it are looked up again.
+            get = self.order.get
+            best = [get(a + b, NEVER) for a, b in pairwise(parts)]
+            while best and (top := min(best)) < NEVER:
+                i = best.index(top)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del best[i]
+                if i < len(best):
+                    best[i] = get(parts[i] + parts[i + 1], NEVER)
+                if i:
+                    best[i - 1] = get(parts[i - 1] + parts[i], NEVER)
         ids, lens = [], []
         for p in parts:
             hit = rank.get(p)
@@ -230,7 +227,7 @@ class Codec:
             cache.clear()
         new = list({u for u in units if u not in cache})
         gc.disable()  # millions of fresh ints and lists, none in a cycle
-        coded = self.merger.encode(new, num_threads=1) if self.merger else [self.merge(u)[0] for u in new]
+        coded = [self.merge(u)[0] for u in new]
         gc.enable()
         flat = np.fromiter(chain.from_iterable(coded), np.int32).tobytes()
         at = 0
