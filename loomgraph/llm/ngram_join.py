@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, drop, handle, materialise, scan, split_by_filter, table
 
-RARE = 12
+RARE = 128
 CACHE_WORDS = 150_000
 #: Bits of a set's parity signature, in WIDE columns of 64; sets of more tokens have a second, wider one.
 BITS = 512
@@ -329,8 +329,8 @@ class Join:
         t = tok.where(power >= least).select("tok").toArrow().column("tok").to_numpy()
         return self.docs.sparkSession.sparkContext.broadcast(np.sort(t.view(np.uint64)))
 
-    def links(self) -> DataFrame:
-        """(a, b) pairs of similar vertices that join all vertices of a component."""
+    def components(self) -> DataFrame:
+        """(v, comp): the component of every vertex that has a link."""
         how = (self.k, self.num, self.den)
         single = self._keep(self._scan(self.reps, _keys(*how, self._late()), "c bigint, v bigint"), "single")
         shared = self._keep(single.join(single.groupBy("c").agg(F.count("*").alias("m")).where("m > 1"), "c"), "shared")
@@ -345,15 +345,26 @@ class Join:
         stars = held.join(led, "c").where("v <> lead")
         # One star pair a set first, with its best lead; the others only where they still join two components.
         best = stars.groupBy(F.col("v").alias("b")).agg(F.max(F.struct("w", "lead")).alias("l")).select(F.col("l.lead").alias("a"), "b")
-        found = self._verified(best)
-        more = self._apart(stars.select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct(), self._components(found))
-        found = found.union(self._verified(more))
-        return found.union(self._verified(self._across(held, self._components(found))))
+        comp = self._components(self._verified(best))
+        more = self._apart(stars.select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct(), comp)
+        comp = self.merged(comp, self._verified(more))
+        return self.merged(comp, self._verified(self._across(held, comp)))
 
     def _components(self, links: DataFrame) -> DataFrame:
         self.temps.append(components(links))
         return self.temps[-1]
 
+    def merged(self, comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components with further links (a, b); only one link between two components counts."""
+        at = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
+        ends = links.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        ends = self._keep(ends.where("ca <> cb"), "ends")
+        if not ends.take(1):
+            return comp
+        up = self._components(ends.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+        every = comp.union(ends.select(F.col("a").alias("v"), F.col("ca").alias("comp"))).union(ends.select("b", "cb")).distinct()
+        return self._keep(every.join(up.select(F.col("v").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("v", F.coalesce("up", "comp").alias("comp")), "comp")
+
     def _apart(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
         at = lambda v, c: comp.select(F.col("v").alias(v), F.col("comp").alias(c))
         return pairs.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
@@ -395,17 +406,17 @@ class Join:
 def join(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int) -> DataFrame:
     """(key, n_shingles, component_id) of every row; links are den * |x & y| >= num * |x | y|."""
     j = Join(df, key, text, shingle, num, den)
-    links = j.links()
+    comp = j.components()
     # An id with several texts joins their components.
     has = materialise(j.all.where("n > 0").groupBy("id", "v").agg(F.count("*").alias("m")).select("id", "v"), "has")
     several = has.where("id is not null").groupBy("id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("id", "a")
     same = has.join(several, "id").where("v <> a").select("a", F.col("v").alias("b"))
-    comp = components(links.union(same))
+    comp = j.merged(comp, same)
     placed = materialise(has.join(comp, "v", "left").select("id", "v", F.coalesce("comp", "v").alias("comp")), "placed")
     name = placed.groupBy("comp").agg(F.min("id").alias("component"))
     name = materialise(placed.select("v", "comp").distinct().join(name, "comp").select("v", "component"), "names")
     j.close()
-    for t in (has, comp, placed):
+    for t in (has, placed):
         drop(t)
     out = j.all.where("n > 0").join(name, "v").select("id", "n", F.col("component"))
     out = out.union(j.all.where("n = 0").select("id", "n", F.col("id")))
@@ -420,7 +431,7 @@ def one_of_each(df: DataFrame, key: str, text: str, shingle: int, num: int, den:
     Rows without words stay. Rows that surely stay are not shuffled.
     """
     j = Join(df, key, text, shingle, num, den)
-    comp = components(j.links())
+    comp = j.components()
     named = materialise(j.all.where("n > 0").join(comp, "v", "left").select("id", "h", F.coalesce("comp", "v").alias("comp")), "named")
     # Ids in order, then rows without one; ties go by the handle.
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"), F.count("*").alias("m")).where("m > 1")
@@ -433,7 +444,7 @@ def one_of_each(df: DataFrame, key: str, text: str, shingle: int, num: int, den:
     # Only rows with words can be repeated here; those without share one handle a key.
     has = F.length(F.translate(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), " \t\n\x0b\x0c\r", "")) > 0
     j.close()
-    for t in (comp, named, j.made):
+    for t in (named, j.made):
         drop(t)
     return clear.union(checked.where(has).dropDuplicates(["h"]).select("row.*")).union(checked.where(~has).select("row.*"))
 
