@@ -49,6 +49,8 @@ LOCAL = 4
 ORDERED = 1 << 18
 #: Holders of a key are compared across components in blocks of about so many.
 BLOCK = 256
+#: A key of more holders is hot: a pair is made at one of its hot keys only.
+HOT = 64
 OUT_ROWS = 1 << 16
 #: Pairs of texts in one Arrow batch.
 PAIR_ROWS = 200
@@ -374,14 +376,15 @@ class Join:
         placed = self._keep(held.join(comp, "v", "left").select("c", "v", F.coalesce("comp", "v").alias("comp")), "placed")
         mixed = placed.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
         parts = F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")
-        open_ = self._keep(placed.join(mixed.select("c", parts), "c"), "open")
-        # A pair is made at the least of its keys only: a row has its vertex's keys below its own.
-        keys = open_.groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("ks")).join(self.marks, "v")
-        open_ = self._keep(open_.join(keys, "v").withColumn("less", F.filter("ks", lambda k: k < F.col("c"))).drop("ks"), "open")
+        open_ = self._keep(placed.join(mixed.select("c", "m", parts), "c"), "open")
+        # Of the hot keys that a pair shares only the least makes it: a row has its vertex's hot keys below its own.
+        hot = open_.where(F.col("m") > HOT).groupBy("v").agg(F.collect_set("c").alias("ks"))
+        less = F.when(F.col("m") > HOT, F.filter("ks", lambda k: k < F.col("c")))
+        open_ = self._keep(open_.join(self.marks, "v").join(hot, "v", "left").withColumn("less", less).drop("ks", "m"), "open")
         at = lambda s: [F.col("comp").alias("c" + s), F.col("v").alias(s), F.col("n").alias("n" + s), F.col("less").alias("less" + s), *[F.col(m).alias(s + m) for m in SIGNS]]
         x = open_.select("c", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), *at("a"))
         y = open_.select("c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), *at("b"))
-        fit = _sizes_fit(self.num, self.den) & _marks_fit(self.num, self.den) & _wide_fit(self.num, self.den) & ~F.arrays_overlap("lessa", "lessb")
+        fit = _sizes_fit(self.num, self.den) & _marks_fit(self.num, self.den) & _wide_fit(self.num, self.den) & F.coalesce(~F.arrays_overlap("lessa", "lessb"), F.lit(True))
         return x.join(y, ["c", "part"]).where("ca < cb").where(fit).select("a", "b").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
