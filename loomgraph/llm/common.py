@@ -37,19 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of an Arrow batch while tables are written: whole texts of a few thousand characters stay within some MB.
 BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch sent to Python, and of one read from a table.
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def materialise(df: DataFrame, name: str = "t", rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and stops recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(int(before), rows)))
+    before = {k: spark.conf.get(k) for k in _BATCHES}
+    for k, v in before.items():
+        spark.conf.set(k, str(min(int(v), rows)))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.loomgraph_path = path
     return out
