@@ -119,3 +119,37 @@ def test_several_texts_null_ids_and_repeats(spark):
     rows = [(4, a), (4, b), (2, a + " z"), (9, b), (9, b), (None, b + " z"), (None, "only this one"), (1, "word " * 30_000), (0, "word " * 20_000)]
     got = sorted(((r[0], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85, 100).collect()), key=str)
     assert got == sorted([(4, 2), (4, 2), (2, 2), (9, 2), (9, 2), (None, 2), (None, None), (1, 0), (0, 0)], key=str)
+
+
+def near_rows(rows, rare, size):
+    import pyarrow as pa
+
+    rows = sorted(rows)
+    t = pa.table({"c": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64()), "s": pa.array([r[2] for r in rows], pa.binary())})
+    out = [tuple(r.values()) for b in ngram_join._near(85, 100, rare)(t.to_batches(size)) for r in b.to_pylist()]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("wait", [20, 300])
+def test_holders_that_nothing_can_be_similar_to_end_at_their_key(monkeypatch, wait):
+    """Rows of similar sets stay, whatever batches they come in; chance holders of a token go; frequent keys keep all rows."""
+    monkeypatch.setattr(ngram_join, "NEAR_ROWS", wait)
+    g, rows, pairs, rare = np.random.default_rng(3), [], [], 8
+    for c in range(300):
+        n = int(g.choice([20, 100, 250, 500, 1200]))
+        sets = [np.unique(g.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(2 + c % 3)]
+        if c % 4 == 0:
+            twin = np.unique(np.concatenate([sets[0][n // 30 :], g.integers(0, 1 << 64, n // 30, dtype=np.uint64)]))
+            pairs += [(c, 10 * c, False), (c, 10 * c + 9, False)]
+            rows.append((c, 10 * c + 9, ngram_join.short_bits(twin, 85, 100)))
+        rows += [(c, 10 * c + i, ngram_join.short_bits(s, 85, 100)) for i, s in enumerate(sets)]
+    hot = [(c, 10_000 * c + i, ngram_join.short_bits(g.integers(0, 1 << 64, 30, dtype=np.uint64), 85, 100)) for c, m in ((500, 9), (501, 45), (502, 8)) for i in range(m)]
+    got = near_rows(rows + hot, rare, 7)
+    assert [x for x in got if x[0] >= 500] == [(c, v, True) for c, v, _ in hot if c < 502]
+    got = [x for x in got if x[0] < 500]
+    assert set(pairs) <= set(got) and len(got) < len(pairs) + 0.02 * len(rows)
+
+
+def test_equal_sets_at_one_key_are_no_mates():
+    s = ngram_join.short_bits(np.arange(40, dtype=np.uint64), 85, 100)
+    assert near_rows([(1, 5, s), (1, 5, s), (2, 5, s), (2, 6, s)], 128, 10) == [(2, 5, False), (2, 6, False)]
