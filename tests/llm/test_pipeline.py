@@ -68,3 +68,16 @@ def test_clashing_names_repeats_and_empty_tables(spark, tmp_path):
             want = got
             assert got.count(5) == 2
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0 and want
+
+
+def test_statistics_are_computed_again_only_where_a_row_may_go(spark, tmp_path, monkeypatch):
+    documents(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.union(docs.where("doc_id = 5")).union(docs.where("doc_id = 3").selectExpr("doc_id", "concat(text, repeat(' same words again and again', 40))", "lang", "source", "n_chars"))
+    texts, stats = [], quality_rules.text_stats
+    monkeypatch.setattr(quality_rules, "text_stats", lambda d, t: texts.append(d.where(f"{t} is not null").count()) or stats(d, t))
+    got = sorted((r.doc_id, len(r.text)) for r in quality_rules.keep_rows(docs).collect())
+    assert texts[0] == docs.where("text is not null").count() and texts[1] == texts[0] - len(got)
+    want = quality_rules.judge(docs.withColumn("doc_id", docs.doc_id * 10_000 + quality_rules.F.length("text"))).where("kept").collect()
+    assert got == sorted(divmod(r.doc_id, 10_000) for r in want)
+    assert [i for i, _ in got].count(5) == 2 and [i for i, _ in got].count(3) == 1
