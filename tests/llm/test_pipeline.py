@@ -81,3 +81,18 @@ def test_statistics_are_computed_again_only_where_a_row_may_go(spark, tmp_path,
     want = quality_rules.judge(docs.withColumn("doc_id", docs.doc_id * 10_000 + quality_rules.F.length("text"))).where("kept").collect()
     assert got == sorted(divmod(r.doc_id, 10_000) for r in want)
     assert [i for i, _ in got].count(5) == 2 and [i for i, _ in got].count(3) == 1
+
+
+def test_the_join_keeps_no_table_longer_than_needed(spark, tmp_path, monkeypatch):
+    import os
+
+    documents(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    write, seen = ngram_join.materialise, []
+    folder = write(spark.range(1), "probe").loomgraph_path.removeprefix("file://").rpartition("/")[0]
+    there = lambda: set(os.listdir(folder))
+    before = there()
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name="t", **how: (seen.append(there() - before) if name == "named" else None) or write(df, name, **how))
+    ngram_join.one_of_each(docs, "doc_id", "text", 5, 80, 100).count()
+    names = {x.rpartition("-")[0] for x in seen[0]}
+    assert "reps" in names and not names & {"sets", "shared", "combos", "held", "weight", "led", "placed"}
