@@ -153,3 +153,25 @@ def test_holders_that_nothing_can_be_similar_to_end_at_their_key(monkeypatch, wa
 def test_equal_sets_at_one_key_are_no_mates():
     s = ngram_join.short_bits(np.arange(40, dtype=np.uint64), 85, 100)
     assert near_rows([(1, 5, s), (1, 5, s), (2, 5, s), (2, 6, s)], 128, 10) == [(2, 5, False), (2, 6, False)]
+
+
+def test_prefix_rows_are_exchanged_in_parts():
+    """The parts share no key, hold about as many rows each and all prefix rows together."""
+    import types
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(n)) for n in (3, 40, 300, 900, 2500)]
+    b = pa.record_batch([pa.array([b""] * len(texts)), pa.array(texts)], names=["h", "text"])
+    sets = list(ngram_join._sets(pa.array(texts), 5, ngram_join._Hashes()))
+    late = types.SimpleNamespace(value=np.sort(np.concatenate([s[::7] for s in sets])))
+    parts = [{(x["c"], x["v"]) for o in ngram_join._keys(5, 80, 100, late, part)([b]) for x in o.to_pylist()} for part in range(ngram_join.PARTS)]
+    want = set()
+    for s in sets:
+        f = np.isin(s, late.value)
+        if ngram_join.grids(len(s), 80, 100):
+            want |= {(int(t), ngram_join.vertex(s)) for t in np.concatenate([s[~f], s[f]])[: ngram_join.prefix_length(len(s), 80, 100)].view(np.int64)}
+    assert sum(map(len, parts)) == len(want) and set().union(*parts) == want
+    assert len({c for c, _ in want}) == sum(len({c for c, _ in p}) for p in parts)
+    assert max(map(len, parts)) < 0.6 * len(want)
