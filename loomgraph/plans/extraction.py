@@ -110,7 +110,7 @@ GSQL = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GROUPS.items(
 TOTAL = f"round(0.25 * base + 0.2 * how + 0.15 * least(1.0, 0.2 * n) + 0.2 * {SIM} + 0.1 * maths + 0.01, 6)::DOUBLE"
 
 QUERIES = {
-    "math_score": (lambda s, d: maths_in(s, d).select("id", F.round(M.score(F.col("body")), 6).alias("score"), F.round(M.confidence(M.score(F.col("body"))), 6).alias("confidence")), f"SELECT id, round({maths('body')}, 6)::DOUBLE AS score, round(least(1.0, ({maths('body')}) / 18), 6)::DOUBLE AS confidence FROM {MATHS_IN}"),
+    "math_score": (lambda s, d: maths_in(s, d).select("id", M.score(F.col("body")).alias("t")).select("id", F.round("t", 6).alias("score"), F.round(M.confidence(F.col("t")), 6).alias("confidence")), f"SELECT id, round({maths('body')}, 6)::DOUBLE AS score, round(least(1.0, ({maths('body')}) / 18), 6)::DOUBLE AS confidence FROM {MATHS_IN}"),
     "improved_math_score": (lambda s, d: maths_in(s, d).select("id", F.round(M.improved_score(F.col("body")), 6).alias("score"), M.rejected(F.col("body")).alias("rejected")), f"SELECT id, round({IMPROVED}, 6)::DOUBLE AS score, {REJECTED} AS rejected FROM {MATHS_IN}"),
     "pdf_line_score": (lambda s, d: maths_in(s, d).select("id", M.line_score(F.col("body")).alias("score")), f"SELECT id, {LINE} AS score FROM {MATHS_IN}"),
     "semantic_group": (lambda s, d: maths_in(s, d).select("id", M.semantic_group(F.col("body")).alias("grp")), f"SELECT id, {GROUP} AS grp FROM {MATHS_IN}"),
