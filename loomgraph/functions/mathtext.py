@@ -276,11 +276,11 @@ DOMAINS = {
 }
 
 
-def _literals(pattern: str) -> list[str] | None:
-    """A text that each alternative needs, where all are plain words, dots and gaps; else None."""
+def literals(pattern: str) -> list[str] | None:
+    """A text that each alternative needs, where all are plain words, blanks, dots and gaps; else None."""
     out = []
     for alt in pattern.replace(r"[ \t\r\n\f]+", "\0").split("|"):
-        if not re.fullmatch(r"(?:[^\W_]|[.\0∫∭∂∇∑∏-])+", alt):
+        if not re.fullmatch(r"(?:[^\W_]|[. \0∫∭∂∇∑∏-])+", alt):
             return None
         out.append(max(re.split(r"[.\0]", alt), key=len))
     return out if all(out) else None
@@ -288,7 +288,7 @@ def _literals(pattern: str) -> list[str] | None:
 
 def _phrases(c: Column, pattern: str) -> Column:
     """Matches of a lexicon's pattern; read with it only where a word of it is there."""
-    words = _literals(pattern)
+    words = literals(pattern)
     return _if(contains_any(c, words), count(c, pattern)) if words else count(c, pattern)
 
 

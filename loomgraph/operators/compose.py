@@ -14,11 +14,13 @@ from loomgraph.functions import mathtext as M
 from loomgraph.functions import names as N
 
 NAME = r"([A-Za-z_][A-Za-z0-9_]*)"
+#: The name that a pattern begins with: the same matches, but one that fails at its first letter is not tried at the others.
+LEAD = r"(?<![A-Za-z_])([A-Za-z_][A-Za-z0-9_]*+)"
 S = r"[ \t\r\n\f]"
 # Patterns of equations, definitions, formulas and relations, and finance terms by category.
 # White space and word characters are written out, so that every engine reads them alike.
-EQUATIONS = (rf"{NAME}{S}*={S}*([^=\n]+)", rf"{NAME}{S}*:{S}*([^:\n]+)", rf"(?i)let{S}+{NAME}{S}+(?:be|denote|represent){S}+([^.\n]+)")
-DEFINITIONS = (rf"(?i)(?:where|let){S}+{NAME}{S}+(?:is|denotes?|represents?){S}+([^.\n]+)", rf"(?i){NAME}{S}+(?:is|denotes?|represents?){S}+(?:the{S}+)?([^.\n]+)")
+EQUATIONS = (rf"{LEAD}{S}*={S}*([^=\n]+)", rf"{LEAD}{S}*:{S}*([^:\n]+)", rf"(?i)let{S}+{NAME}{S}+(?:be|denote|represent){S}+([^.\n]+)")
+DEFINITIONS = (rf"(?i)(?:where|let){S}+{NAME}{S}+(?:is|denotes?|represents?){S}+([^.\n]+)", rf"{LEAD}(?i:{S}+(?:is|denotes?|represents?){S}+(?:the{S}+)?)([^.\n]+)")
 FORMULAS = (rf"(?i)(?:formula|equation|expression)(?:{S}+for)?{S}+{NAME}", rf"(?i)(?:calculate|compute|determine){S}+{NAME}")
 FINANCE = {
     "portfolio_theory": ("methodology", ("portfolio|efficient frontier|mean.variance|markowitz", "asset allocation|diversification|risk.return")),
@@ -27,16 +29,16 @@ FINANCE = {
     "performance": ("metric", ("sharpe ratio|information ratio|treynor ratio", "alpha|beta|jensen.alpha|tracking error")),
 }
 RELATIONS = {
-    "depends_on": (rf"(?i){NAME}{S}+depends{S}+on{S}+{NAME}", rf"(?i){NAME}{S}+(?:is{S}+)?function{S}+of{S}+{NAME}"),
-    "derives_from": (rf"(?i){NAME}{S}+(?:is{S}+)?derived{S}+from{S}+{NAME}", rf"(?i){NAME}{S}+follows{S}+from{S}+{NAME}"),
-    "measures": (rf"(?i){NAME}{S}+measures{S}+{NAME}", rf"(?i){NAME}{S}+(?:is{S}+a{S}+)?measure{S}+of{S}+{NAME}"),
+    "depends_on": (rf"{LEAD}(?i:{S}+depends{S}+on{S}+){NAME}", rf"{LEAD}(?i:{S}+(?:is{S}+)?function{S}+of{S}+){NAME}"),
+    "derives_from": (rf"{LEAD}(?i:{S}+(?:is{S}+)?derived{S}+from{S}+){NAME}", rf"{LEAD}(?i:{S}+follows{S}+from{S}+){NAME}"),
+    "measures": (rf"{LEAD}(?i:{S}+measures{S}+){NAME}", rf"{LEAD}(?i:{S}+(?:is{S}+a{S}+)?measure{S}+of{S}+){NAME}"),
 }
-ASSIGNMENTS = (rf"{NAME}{S}*={S}*([^=\n]+)", rf"{NAME}{S}*:={S}*([^=\n]+)")
-CALLS = (rf"{NAME}{S}*\({S}*([A-Za-z0-9_, \t\r\n\f]*){S}*\)", rf"{NAME}{S}*={S}*f{S}*\({S}*([A-Za-z0-9_, \t\r\n\f]*){S}*\)")
+ASSIGNMENTS = (rf"{LEAD}{S}*={S}*([^=\n]+)", rf"{LEAD}{S}*:={S}*([^=\n]+)")
+CALLS = (rf"{LEAD}{S}*\({S}*([A-Za-z0-9_, \t\r\n\f]*){S}*\)", rf"{LEAD}{S}*={S}*f{S}*\({S}*([A-Za-z0-9_, \t\r\n\f]*){S}*\)")
 SEMANTIC = {
-    "defines": (rf"(?i){NAME}{S}+(?:is{S}+)?defined{S}+as{S}+([^.]+)", rf"(?i)define{S}+{NAME}{S}+as{S}+([^.]+)"),
-    "implies": (rf"(?i){NAME}{S}+implies{S}+{NAME}", rf"(?i)if{S}+{NAME}{S}+then{S}+{NAME}"),
-    "extends": (rf"(?i){NAME}{S}+extends{S}+{NAME}", rf"(?i){NAME}{S}+(?:is{S}+)?(?:an?{S}+)?extension{S}+of{S}+{NAME}"),
+    "defines": (rf"{LEAD}(?i:{S}+(?:is{S}+)?defined{S}+as{S}+)([^.]+)", rf"(?i)define{S}+{NAME}{S}+as{S}+([^.]+)"),
+    "implies": (rf"{LEAD}(?i:{S}+implies{S}+){NAME}", rf"(?i)if{S}+{NAME}{S}+then{S}+{NAME}"),
+    "extends": (rf"{LEAD}(?i:{S}+extends{S}+){NAME}", rf"{LEAD}(?i:{S}+(?:is{S}+)?(?:an?{S}+)?extension{S}+of{S}+){NAME}"),
 }
 PREREQUISITES = (
     rf"(?i)assumes?{S}+(?:familiarity{S}+with|knowledge{S}+of|understanding{S}+of){S}+([^.,;]+)",
@@ -47,6 +49,14 @@ PREREQUISITES = (
     rf"(?i)prerequisites?{S}*:{S}*([^.,;]+)",
     rf"(?i)background{S}+in{S}+([^.,;]+)",
 )
+#: One of these a text must hold in lower case for the pattern to match; with none of them it is not read with it.
+NEEDS = dict(zip(EQUATIONS + DEFINITIONS + FORMULAS, (("=",), (":",), ("let",), ("where", "let"), ("is", "denote", "represent"), ("formula", "equation", "expression"), ("calculate", "compute", "determine"))))
+NEEDS |= dict(zip((p for ps in RELATIONS.values() for p in ps), (("depends",), ("function",), ("derived",), ("follows",), ("measures",), ("measure",))))
+NEEDS |= dict(zip(ASSIGNMENTS + CALLS, (("=",), (":=",), ("(",), ("(",))))
+NEEDS |= dict(zip((p for ps in SEMANTIC.values() for p in ps), (("defined",), ("define",), ("implies",), ("then",), ("extends",), ("extension",))))
+NEEDS |= {p: tuple(M.literals(p)) for _, ps in FINANCE.values() for p in ps}
+#: A sentence without such a character scores at most 2 (variables, a finance term), and 5.4 is needed.
+MATHEMATICAL = r"[=+*/^()\[\]{}|\\_\x80-\xBF×÷\u0100-\uFFFF-]"
 
 
 def pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,9 +64,15 @@ def pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(N.pack_pages(F.col(text))).alias("p", "text")).select(key, (F.col("p") + 1).alias("page"), "text")
 
 
-def _zip(c: Column, pattern: str) -> Column:
+def _all(c: Column, low: Column, pattern: str, group: int = 1, spelt: str | None = None) -> Column:
+    """The group of every match, read only where the pattern can match. low: the text in lower case; spelt: the pattern, where it wraps the one known to NEEDS."""
+    none = F.array().cast("array<string>")
+    return F.when(M.contains_any(low, NEEDS[pattern]), F.regexp_extract_all(c, F.lit(spelt or pattern), F.lit(group))).otherwise(none)
+
+
+def _zip(c: Column, low: Column, pattern: str) -> Column:
     """Array of struct(a, b): both groups of every match."""
-    return F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("b"))
+    return F.arrays_zip(_all(c, low, pattern, 1).alias("a"), _all(c, low, pattern, 2).alias("b"))
 
 
 def _concept(name: Column, kind: str, confidence, method: str) -> Column:
@@ -68,35 +84,35 @@ def _each(names: Column, spelt, kind: str, confidence, method: str) -> Column:
     return F.transform(names, lambda v: _concept(spelt(v), kind, confidence, method))
 
 
-def found_in(s: Column) -> Column:
-    """Concepts of a sentence in the order of the extractors: mathematics, finance, definitions, formulas."""
-    total = M.score(s)
+def found_in(s: Column, low: Column, total: Column) -> Column:
+    """Concepts of a sentence, its lower case and its score, in the order of the extractors: mathematics, finance, definitions, formulas."""
     sure = M.confidence(total)
-    first = lambda p: F.regexp_extract_all(s, F.lit(p), F.lit(1))
     maths = [F.transform(M.variables(s), lambda v: _concept(v, "variable", sure, "math"))]
-    maths += [F.transform(first(p), lambda v: _concept(v, "equation", sure, "math")) for p in EQUATIONS]
-    none = F.filter(maths[0], lambda x: F.lit(False))
+    maths += [F.transform(_all(s, low, p), lambda v: _concept(v, "equation", sure, "math")) for p in EQUATIONS]
+    none = F.array().cast("array<struct<name:string,type:string,confidence:double,method:string>>")
     out = [F.when((total >= 3) & (sure > 0.3), F.concat(*maths)).otherwise(none)]
     for kind, patterns in FINANCE.values():
         for p in patterns:
-            out.append(_each(first(f"(?i)({p})"), lambda v: F.replace(F.lower(v), F.lit(" "), F.lit("_")), kind, 0.8, "regex"))
-    out += [F.transform(first(p), lambda v: _concept(v, "variable", 0.7, "semantic")) for p in DEFINITIONS]
-    out += [F.transform(first(p), lambda v: _concept(v, "formula", 0.6, "regex")) for p in FORMULAS]
+            out.append(_each(_all(s, low, p, spelt=f"(?i)({p})"), lambda v: F.replace(F.lower(v), F.lit(" "), F.lit("_")), kind, 0.8, "regex"))
+    out += [F.transform(_all(s, low, p), lambda v: _concept(v, "variable", 0.7, "semantic")) for p in DEFINITIONS]
+    out += [F.transform(_all(s, low, p), lambda v: _concept(v, "formula", 0.6, "regex")) for p in FORMULAS]
     return F.concat(*out)
 
 
 def concepts(page_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, page, norm, name, type, confidence, method, n): the best concept of each normalised name of a page, the first of equals.
 
-    Complexity level and domain of the page come with every concept of it.
+    Complexity level and domain of the page come with every concept of it; where nobody reads them, they are not computed.
     """
-    sent = page_rows.select(key, "page", "text", F.posexplode(N.sentences(F.col("text"))).alias("n", "s"))
-    every = sent.select(key, "page", "n", F.posexplode(found_in(F.col("s"))).alias("i", "c"))
-    seen = every.select(key, "page", "n", "i", N.normalize_name(F.col("c.name")).alias("norm"), "c.*")
+    about = ("complexity", "domain")
+    d = page_rows.select(key, "page", "text", M.level(F.col("text")).alias("complexity"), M.domain(F.col("text")).alias("domain"))
+    sent = d.select(key, "page", *about, F.posexplode(N.sentences(F.col("text"))).alias("n", "s"))
+    total = F.when(M.has(F.col("s"), MATHEMATICAL), M.score(F.col("s"))).otherwise(0.0)
+    sent = sent.select(key, "page", *about, "n", "s", F.lower("s").alias("low"), total.alias("total"))
+    every = sent.select(key, "page", *about, "n", F.posexplode(found_in(F.col("s"), F.col("low"), F.col("total"))).alias("i", "c"))
+    seen = every.select(key, "page", *about, "n", "i", N.normalize_name(F.col("c.name")).alias("norm"), "c.*")
     best = F.min_by(F.struct("name", "type", "confidence", "method"), F.struct(-F.col("confidence"), "n", "i")).alias("c")
-    one = seen.groupBy(key, "page", "norm").agg(best, F.count("*").alias("n")).select(key, "page", "norm", "c.*", "n")
-    about = page_rows.select(key, "page", M.level(F.col("text")).alias("complexity"), M.domain(F.col("text")).alias("domain"))
-    return one.join(about, [key, "page"])
+    return seen.groupBy(key, "page", "norm").agg(best, F.count("*").alias("n"), *[F.first(x).alias(x) for x in about]).select(key, "page", "norm", "c.*", "n", *about)
 
 
 def _named(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -110,21 +126,26 @@ def _named(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def _pairs(page_rows: DataFrame, key: str, patterns: dict, confidence: float, method: str) -> DataFrame:
     """(key, page, a, b, type, confidence, method) of every match of the two-group patterns, read in one pass."""
     typed = lambda z, k: F.transform(z, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(k).alias("type")))
-    every = F.concat(*[typed(_zip(F.col("text"), p), k) for k, ps in patterns.items() for p in ps])
-    d = page_rows.select(key, "page", F.explode(every).alias("m"))
+    every = F.concat(*[typed(_zip(F.col("text"), F.col("low"), p), k) for k, ps in patterns.items() for p in ps])
+    d = page_rows.select(key, "page", "text", F.lower("text").alias("low")).select(key, "page", F.explode(every).alias("m"))
     return d.select(key, "page", "m.*", F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
 
 
 def near(page_rows: DataFrame, known: DataFrame, key: str, words: Column, window: int) -> DataFrame:
     """(key, page, src, dst, n): pairs of occurrences of known words (key, page, k) within ``window`` words, either order.
 
-    Occurrences are dealt into blocks of the window's width, so the range join is an equi-join.
+    A page's known words come to its row; its other words are dropped and pairs counted there, so that no word is shuffled.
     """
-    w = page_rows.select(key, "page", F.posexplode(words).alias("pos", "k")).join(known.select(key, "page", "k").distinct(), [key, "page", "k"])
-    block = F.floor(F.col("pos") / window)
-    x = w.select(key, "page", F.col("k").alias("src"), F.col("pos").alias("p"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    y = w.select(key, "page", F.col("k").alias("dst"), F.col("pos").alias("q"), block.alias("block"))
-    j = x.join(y, [key, "page", "block"]).where((F.col("p") != F.col("q")) & (F.abs(F.col("p") - F.col("q")) <= window))
+    names = known.groupBy(key, "page").agg(F.collect_set("k").alias("names"))
+    placed = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("k"))), lambda x: F.array_contains("names", x["k"]))
+    d = page_rows.join(names, [key, "page"]).select(key, "page", placed.alias("at"))
+
+    def around(x: Column, i: Column) -> Column:
+        close = F.slice("at", F.greatest(i + 1 - window, F.lit(1)), F.lit(2 * window + 1))
+        close = F.filter(close, lambda y: (y["pos"] != x["pos"]) & (F.abs(y["pos"] - x["pos"]) <= window))
+        return F.struct(x["k"].alias("src"), F.transform(close, lambda y: y["k"]).alias("close"))
+
+    j = d.select(key, "page", F.explode(F.transform("at", around)).alias("x")).select(key, "page", F.col("x.src").alias("src"), F.explode("x.close").alias("dst"))
     return j.groupBy(key, "page", "src", "dst").agg(F.count("*").alias("n"))
 
 

@@ -16,7 +16,8 @@ STATED = """concat('x', s_suppkey % 7, ' = y', s_nationkey % 5, ' + z', s_suppke
 
 
 def stated(spark, d):
-    return table(spark, d, "supplier").selectExpr("s_suppkey AS doc_id", f"{STATED} AS text")
+    few = table(spark, d, "supplier").select("s_suppkey", "s_nationkey").repartition(spark.sparkContext.defaultParallelism)  # a small file of much text
+    return few.selectExpr("s_suppkey AS doc_id", f"{STATED} AS text")
 
 
 def texts(spark, d):
@@ -137,13 +138,13 @@ def known(spark, d):
 def extracted(spark, d):
     """(pages, concepts, relations) of all texts."""
     pages = C.pages(texts(spark, d))
-    found = cut(C.concepts(pages))  # read five times below
+    found = cut(C.concepts(pages).drop("complexity", "domain"))  # read five times below
     return pages, found, cut(C.relations(pages, found))
 
 
 def discovered(spark, d):
     pages = C.pages(texts(spark, d))
-    return C.discover(pages, cut(C.concepts(pages))).drop("page")
+    return C.discover(pages, cut(C.concepts(pages).drop("complexity", "domain"))).drop("page")
 
 
 def extracted_concepts(spark, d):
