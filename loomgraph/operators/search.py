@@ -15,10 +15,11 @@ def concepts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def search(concepts: DataFrame, q: str, limit: int = 20, floor: float = 0.1) -> DataFrame:
-    """Ranked search: relevance, then frequency, then name; only a top-k leaves each task."""
+    """Ranked search: relevance, then frequency, then name, then id where there is one; only a top-k leaves each task."""
     score = N.relevance(q, F.col("name"), F.col("context"), F.col("type"), F.col("frequency"), F.col("confidence"))
     hit = concepts.withColumn("relevance", F.round(score, 6)).where(F.col("relevance") >= floor)
-    return hit.orderBy(F.desc("relevance"), F.desc("frequency"), "name").limit(limit)
+    last = ["id"] if "id" in concepts.columns else []
+    return hit.orderBy(F.desc("relevance"), F.desc("frequency"), "name", *last).limit(limit)
 
 
 def by_type(concepts: DataFrame, kind: str) -> DataFrame:
