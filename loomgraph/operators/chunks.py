@@ -103,6 +103,8 @@ def cosine(a, b):
 
 #: Queries of one pass over the vectors: with 64 floats each a few MB are broadcast, and a task keeps k results of each.
 QUERY_BLOCK = 10_000
+#: Similarities that a task holds at once, 8 MB an array; some eight arrays of that size are alive.
+CELLS = 1_000_000
 
 
 def _nearest(ids: np.ndarray, q: np.ndarray, k: int, kind):
@@ -110,24 +112,23 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int, kind):
     unit = q / np.linalg.norm(q, axis=1, keepdims=True)
 
     def run(batches):
-        best = None
+        sims, names = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), ids.dtype)
+        step = max(1, CELLS // max(1, len(ids)))
         for b in batches:
-            if not b.num_rows:
-                continue
-            v = np.array(b.column(1).to_pylist(), np.float64)
             own = b.column(0).to_numpy(zero_copy_only=False)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sim = np.round(unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-            sim[ids[:, None] == own[None, :]] = -np.inf
-            name = np.broadcast_to(own, sim.shape)
-            if best is not None:
-                sim, name = np.concatenate([best[0], sim], 1), np.concatenate([best[1], name], 1)
-            order = np.lexsort((name, -sim), axis=1)[:, :k]
-            best = np.take_along_axis(sim, order, 1), np.take_along_axis(name, order, 1)
-        if best is not None:
-            ok = np.isfinite(best[0])
-            at = np.repeat(np.arange(len(ids)), ok.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]).cast(kind), pa.array(best[1][ok]).cast(kind), pa.array(best[0][ok])], names=["q", "id", "similarity"])
+            for at in range(0, b.num_rows, step):
+                v, near = np.array(b.column(1).slice(at, step).to_pylist(), np.float64), own[at : at + step]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sim = np.round(unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
+                sim[ids[:, None] == near[None, :]] = -np.inf
+                better = np.flatnonzero((sim >= sims[:, -1:]).any(1))  # others keep their k best; equal ones may have a smaller id
+                sim = np.concatenate([sims[better], sim[better]], 1)
+                name = np.concatenate([names[better], np.broadcast_to(near, (len(better), len(near)))], 1)
+                order = np.lexsort((name, -sim), axis=1)[:, :k]
+                sims[better], names[better] = np.take_along_axis(sim, order, 1), np.take_along_axis(name, order, 1)
+        ok = np.isfinite(sims)
+        at = np.repeat(np.arange(len(ids)), ok.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]).cast(kind), pa.array(names[ok]).cast(kind), pa.array(sims[ok])], names=["q", "id", "similarity"])
 
     return run
 
